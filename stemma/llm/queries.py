@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import groups, near, splits
+from . import distinctive, groups, near, overlap, sampling, splits
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -24,11 +24,30 @@ def p2_splits(spark: SparkSession, sf: str) -> DataFrame:
     return splits.grouped_split(table(spark, sf, "corpus").select("doc_id", "tm"), ["tm"], valid={"tm": F.col("tm") > 0})
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    return overlap.cross_split_overlaps(table(spark, sf, "corpus")).select(F.least("train_id", "held_id").alias("doc_id_a"), F.greatest("train_id", "held_id").alias("doc_id_b"))
+
+
+def p3_report(spark: SparkSession, sf: str) -> DataFrame:
+    corpus = table(spark, sf, "corpus")
+    return overlap.overlap_report(corpus, overlap.cross_split_overlaps(corpus)).select("split", "source", "pairs", "documents")
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return distinctive.distinctive_terms(table(spark, sf, "corpus"), min_count=3).where("df between 2 and 5").select("doc_id", "term")
+
+
+def p5_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.stable_sample(table(spark, sf, "corpus"), 0.1)
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return near.near_duplicate_groups(table(spark, sf, "corpus")).select("doc_id", "group_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p3_found, p3_report, p4_found, p5_sample, p7_found)}
 
 _TEXTS = """docs AS (SELECT DISTINCT doc_id, lower(trim(split, ' ' || chr(9))) AS split, replace(array_to_string(lines, ''), '▯', '') AS t FROM corpus),
  sh AS (SELECT DISTINCT doc_id, substr(t, i::BIGINT, 5) AS s FROM docs, LATERAL (SELECT unnest(range(1, length(t) - 3)) AS i) WHERE length(t) >= 20),
@@ -46,6 +65,22 @@ SQL = {
  g AS (SELECT a AS doc_id, min(b) AS group_id, count(DISTINCT b) AS n FROM (SELECT a, b FROM reach UNION SELECT a, a FROM reach) GROUP BY 1)
 SELECT doc_id, group_id FROM g WHERE n > 1 AND doc_id IN (SELECT doc_id FROM corpus)""",
     "p2_found": """SELECT tm FROM corpus WHERE tm > 0 GROUP BY tm HAVING count(DISTINCT lower(trim(split, ' ' || chr(9)))) > 1""",
+    "p3_found": f"""WITH {_TEXTS},
+ s AS (SELECT doc_id, split FROM docs)
+SELECT a AS doc_id_a, b AS doc_id_b FROM alike JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b
+WHERE (x.split = 'train' AND y.split IN ('val', 'test')) OR (y.split = 'train' AND x.split IN ('val', 'test'))""",
+    "p3_report": f"""WITH {_TEXTS},
+ s AS (SELECT DISTINCT doc_id, source, lower(trim(split, ' ' || chr(9))) AS split FROM corpus),
+ p AS (SELECT a AS t, b AS h FROM alike UNION ALL SELECT b, a FROM alike)
+SELECT y.split, y.source, count(*)::BIGINT AS pairs, count(DISTINCT h) AS documents FROM p JOIN s x ON x.doc_id = t JOIN s y ON y.doc_id = h
+WHERE x.split = 'train' AND y.split IN ('val', 'test') GROUP BY 1, 2""",
+    "p4_found": """WITH docs AS (SELECT DISTINCT doc_id, lines FROM corpus), l AS (SELECT doc_id, unnest(lines) AS line FROM docs),
+ t AS (SELECT doc_id, substr(line, i::BIGINT, 6) AS term FROM l, LATERAL (SELECT unnest(range(1, length(line) - 4)) AS i)),
+ tf AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE NOT contains(term, '▯') GROUP BY 1, 2),
+ df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)
+SELECT doc_id, term FROM tf JOIN df USING (term) WHERE tf >= 3 AND df BETWEEN 2 AND 5""",
+    "p5_sample": """WITH d AS (SELECT DISTINCT doc_id, tm FROM corpus WHERE doc_id IS NOT NULL)
+SELECT doc_id, tm FROM d WHERE ('0x' || substr(sha256('stemma-sample-1|' || CASE WHEN tm > 0 THEN 'tm:' || tm ELSE 'doc_id:' || doc_id END), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < 0.1""",
     "p7_found": f"""WITH RECURSIVE {_TEXTS},
  e AS (SELECT a, b FROM alike UNION SELECT b, a FROM alike),
  reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a)
