@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import distinctive, groups, near, overlap, sampling, splits
+from . import distinctive, encoding, groups, near, overlap, sampling, splits
+
+#: Folder of the public vocabularies; they are never copied.
+TOKENIZERS = os.environ.get("STEMMA_TOKENIZERS", "/opt/tokenizers")
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,7 +52,11 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return near.near_duplicate_groups(table(spark, sf, "corpus")).select("doc_id", "group_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p3_found, p3_report, p4_found, p5_sample, p7_found)}
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return encoding.encode_corpus(table(spark, sf, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p3_found, p3_report, p4_found, p5_sample, p7_found, p8_ids)}
 
 _TEXTS = """docs AS (SELECT DISTINCT doc_id, lower(trim(split, ' ' || chr(9))) AS split, replace(array_to_string(lines, ''), '▯', '') AS t FROM corpus),
  sh AS (SELECT DISTINCT doc_id, substr(t, i::BIGINT, 5) AS s FROM docs, LATERAL (SELECT unnest(range(1, length(t) - 3)) AS i) WHERE length(t) >= 20),
