@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import distinctive, encoding, groups, near, overlap, sampling, splits
+from . import distinctive, encoding, groups, leakage, near, overlap, sampling, spans, splits
 
 #: Folder of the public vocabularies; they are never copied.
 TOKENIZERS = os.environ.get("STEMMA_TOKENIZERS", "/opt/tokenizers")
@@ -56,7 +56,15 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, sf, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p3_found, p3_report, p4_found, p5_sample, p7_found, p8_ids)}
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, sf, "documents"), table(spark, sf, "test_items")).where("run >= 48").select("doc_id", "item_id")
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.shared_spans(table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p3_found, p3_report, p4_found, p5_sample, p7_found, p8_ids, p9_found, p10_found)}
 
 _TEXTS = """docs AS (SELECT DISTINCT doc_id, lower(trim(split, ' ' || chr(9))) AS split, replace(array_to_string(lines, ''), '▯', '') AS t FROM corpus),
  sh AS (SELECT DISTINCT doc_id, substr(t, i::BIGINT, 5) AS s FROM docs, LATERAL (SELECT unnest(range(1, length(t) - 3)) AS i) WHERE length(t) >= 20),
