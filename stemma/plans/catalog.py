@@ -2,5 +2,65 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators import nested
+from ..session import table
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with SQL that gives the same rows."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+_LINK = "['children', 'child', 'extent']"
+
+
+def _place(j: str, key: str) -> str:
+    return f"""list_filter(CASE json_type({j}) WHEN 'ARRAY' THEN CAST({j} AS JSON[]) WHEN 'OBJECT' THEN [{j}] ELSE [] END, lambda x: json_type(x) = 'OBJECT')"""
+
+
+@query(
+    f"""WITH RECURSIVE raw AS (SELECT DISTINCT doc_id, 'supplied' AS field, supplied AS v FROM corpus UNION SELECT DISTINCT doc_id, 'gap', gap FROM corpus),
+ once AS (SELECT doc_id, field, CAST(v AS JSON) AS j FROM raw WHERE json_valid(v)),
+ val AS (SELECT doc_id, field, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j ->> '$') THEN CAST(j ->> '$' AS JSON) END ELSE j END AS j FROM once),
+ top AS (SELECT doc_id, field, {_place('j', '')} AS l FROM val WHERE j IS NOT NULL),
+ n AS (
+  SELECT doc_id, field, CAST(i AS VARCHAR) AS node, '' AS parent, l[i] AS j FROM top, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)
+  UNION ALL
+  SELECT doc_id, field, node || '.' || i, node, l[i] FROM (
+   SELECT doc_id, field, node, {_place('k', '')} AS l FROM (SELECT doc_id, field, node, unnest([json_extract(j, '$.children'), json_extract(j, '$.child'), json_extract(j, '$.extent')]) AS k FROM n) WHERE k IS NOT NULL
+  ), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i))
+SELECT DISTINCT doc_id, field, node, parent FROM n
+UNION ALL
+SELECT DISTINCT doc_id, 'hgv', id, '' FROM (SELECT doc_id, unnest(string_split_regex(h, '\\s+')) AS id FROM (SELECT doc_id, unnest(hgv) AS h FROM corpus)) WHERE id <> ''"""
+)
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    corpus = table(spark, sf, "corpus")
+    return nested.shred(corpus, ["supplied", "gap"], inline=False).select("doc_id", "field", "node", "parent").union(nested.list_entries(corpus, "hgv"))
+
+
+@query()
+def p6_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = nested.shred(table(spark, sf, "corpus"), ["supplied", "gap"])
+    return nested.inlined(nodes, ["tag", "reason", "unit", "quantity", "precision.degree", "precision.by.hand"])
+
+
+@query()
+def p6_items(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.repeated(nested.shred(table(spark, sf, "corpus"), ["supplied", "gap"]))
+
+
+@query()
+def p6_schema(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.schema_graph(nested.shred(table(spark, sf, "corpus"), ["supplied", "gap"]))
