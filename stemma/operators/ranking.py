@@ -17,7 +17,8 @@ def dense_index(df: DataFrame, order: list[Column | str], name: str = "index") -
     a partition, go to the driver.
     """
     stage = Stage(df.sparkSession, "index")
-    parts = stage.save(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that small tables keep their parallelism
+    parts = stage.save(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
     sizes = sorted((r["_part"], r["count"]) for r in parts.groupBy("_part").count().collect())
     start, before = 0, []
     for p, n in sizes:

@@ -274,12 +274,16 @@ def synthetic_queries(units: DataFrame, per_length: int = 100, lengths: tuple[in
 
     Every occurrence has a hash; a substring has that of its luckiest, and those with the smallest are taken.
     """
-    parts = []
-    for n in range(lengths[0], lengths[1] + 1):
-        each = units.select("unit_id", F.posexplode(T.ngrams("text", n, BARRIERS)).alias("at", "query"))
-        lucky = each.groupBy("query").agg(F.min(F.sha2(F.concat_ws("|", F.lit(salt), F.lit(n), F.col("unit_id").cast("string"), F.col("at")), 256)).alias("h"))
-        parts.append(lucky.orderBy("h", "query").limit(per_length).select("query"))
-    return _stacked(parts)
+    sizes = range(lengths[0], lengths[1] + 1)
+
+    def placed(n: int) -> Column:
+        return F.transform(T.ngrams("text", n, BARRIERS), lambda g, i: F.struct(F.lit(n).alias("n"), i.alias("at"), g.alias("query")))
+
+    grams = F.flatten(F.array(*map(placed, sizes)))
+    each = units.select("unit_id", F.explode(grams).alias("x")).select("unit_id", "x.*")
+    luck = F.sha2(F.concat_ws("|", F.lit(salt), "n", F.col("unit_id").cast("string"), "at"), 256)
+    lucky = each.groupBy("n", "query").agg(F.min(luck).alias("h"))
+    return top_per_group(lucky, ["n"], [F.col("h").asc(), F.col("query").asc()], per_length, spread="query").select("query")
 
 
 def name_queries(forms: DataFrame, n: int = 500, least: int = 2) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import BOOTSTRAPS, INTERVAL, LEAST_IN_BIN, LETTER_BINS, SEED
 from ..functions import text as T
+from ..session import Stage
 from .ranking import dense_index
 from .tasks import macro_f1, mae
 
@@ -25,10 +26,11 @@ def _counts(members: DataFrame, by: list[str], col: str, kind: str, n_boot: int,
     else:
         group = d.agg(F.count("*").alias("n"))
     label = F.concat_ws("/", *[F.col(c).cast("string") for c in by]) if by else F.lit("")
-    rolls = group.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).repartition(F.col("b")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rolls = group.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).repartition(n, "b").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
     at = F.floor(T.unit_hash(F.lit(str(seed)), label, F.lit(kind), F.col("b"), F.col("j")) * F.col("n"))
     drawn = rolls.select(*by, "b", at.alias("index")).groupBy(*by, "b", "index").agg(F.count("*").alias("times"))
-    return drawn.join(d, [*by, "index"]).select(*by, "b", col, "times")
+    return drawn.join(d, [*by, "index"]).select(*by, "b", col, "times").repartition(n, "b")
 
 
 def replicates(preds: DataFrame, task: str, by: list[str], n_boot: int, seed: int = SEED) -> DataFrame:
@@ -64,7 +66,7 @@ def curve(preds: DataFrame, task: str = "form", n_boot: int = BOOTSTRAPS, by: li
     p = preds.withColumn("cer", F.col("cer").cast("double"))
     point = (mae if task == "dating" else macro_f1)(p, [*by, "cer"]).withColumnRenamed("score", "point").join(p.groupBy(*by, "cer").agg(F.count("*").alias("n")), [*by, "cer"])
     low = p.groupBy(*by).agg(F.min("cer").alias("base"))
-    rep = replicates(p, task, by, n_boot, seed)
+    rep = Stage(preds.sparkSession, "replicates").save(replicates(p, task, by, n_boot, seed))  # levels x replicates, read twice
     keep = (lambda x, base: F.try_divide(base, x)) if task == "dating" else F.try_divide
     first = rep.join(F.broadcast(low), by) if by else rep.crossJoin(F.broadcast(low))  # one row
     first = first.where(F.col("cer") == F.col("base")).select(*by, "b", F.col("score").alias("first"))
