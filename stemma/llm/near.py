@@ -20,17 +20,19 @@ _LEAF = 16
 def trie_pairs(block: np.ndarray, bits: np.ndarray, n: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of one block whose bits differ in no more places than the budget of their sizes.
 
-    Sorted by block and bits, each block is a binary trie in place: a node is a range, and a
-    bit splits it where the bit turns 1. All blocks descend together, bit by bit. A node meets
-    itself as its two halves and as their pair, two nodes meet as the four pairs of their
-    halves; a pair of unlike halves has one more differing bit, and a pair of nodes goes when
-    its differing bits exceed the largest budget within. Small nodes are compared at once.
+    A block falls into bands of sizes, each a quarter larger than the one before, so that alike
+    sets stand in the same band or in neighbours. Sorted by bits, each band is a binary trie in
+    place: a node is a range, and a bit splits it where the bit turns 1. All bands descend
+    together, bit by bit. A node meets itself as its two halves and as their pair, two nodes meet
+    as the four pairs of their halves; a pair of unlike halves has one more differing bit, and a
+    pair of nodes goes when its differing bits exceed the largest budget within. Small nodes are
+    compared at once.
     """
-    order = np.lexsort((bits[:, 3], bits[:, 2], bits[:, 1], bits[:, 0], block))
-    block, bits, n, rank = block[order], bits[order], n[order].astype(np.int64), rank[order].astype(np.int64)
-    edge = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
+    band = np.floor(np.log(np.maximum(n, 1)) / np.log(1.2500001)).astype(np.int16)
+    order = np.lexsort((bits[:, 3], bits[:, 2], bits[:, 1], bits[:, 0], band, block))
+    block, band, bits, n, rank = block[order], band[order], bits[order], n[order].astype(np.int64), rank[order].astype(np.int64)
+    edge = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (band[1:] != band[:-1])]) if len(block) else np.zeros(0, np.int64)
     lo, hi = edge, np.r_[edge[1:], len(block)]
-    size = hi - lo
     found: list[tuple[np.ndarray, np.ndarray]] = []
     padded = np.r_[n, 0]
 
@@ -46,9 +48,8 @@ def trie_pairs(block: np.ndarray, bits: np.ndarray, n: np.ndarray, rank: np.ndar
         ok = far <= budget(n[i], n[j])
         found.append((order[i[ok]], order[j[ok]]))
 
-    def descend(lo, hi):
-        none = np.zeros(0, np.int64)
-        a0 = a1 = b0 = b1 = err = none
+    def descend(lo, hi, a0, a1, b0, b1):
+        err = np.zeros(len(a0), np.int64)
         for d in range(256):
             small = hi - lo <= 4
             leaf(*triangle(lo[small], hi[small]))
@@ -72,10 +73,14 @@ def trie_pairs(block: np.ndarray, bits: np.ndarray, n: np.ndarray, rank: np.ndar
         leaf(*triangle(lo, hi))
         leaf(*product(a0, a1, b0, b1))
 
-    lo, hi, size = lo[size > 1], hi[size > 1], size[size > 1]
+    next_ = np.flatnonzero((block[edge[1:]] == block[edge[:-1]]) & (band[edge[1:]] == band[edge[:-1]] + 1))
+    size = hi - lo
+    size[next_] += hi[next_ + 1] - lo[next_ + 1]
     work = np.cumsum(size * size) // 4_000_000
+    alone = hi - lo > 1
     for w in np.unique(work):
-        descend(lo[work == w], hi[work == w])
+        own, other = (work == w) & alone, next_[work[next_] == w]
+        descend(lo[own], hi[own], lo[other], hi[other], lo[other + 1], hi[other + 1])
     return (np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])) if found else (np.zeros(0, np.int64),) * 2
 
 

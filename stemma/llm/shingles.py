@@ -103,7 +103,7 @@ def frequencies(rows: DataFrame) -> np.ndarray:
         for batch in batches:
             for s, blob in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
                 a = np.frombuffer(zlib.decompress(blob), np.int32)
-                sums[s] = sums[s] + a if s in sums else a
+                sums[s] = np.minimum(sums[s] + a.astype(np.int64), 2**31 - 1).astype(np.int32) if s in sums else a
         yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(a.tobytes(), 1) for a in sums.values()], pa.binary())], ["slice", "counts"])
 
     schema = "slice int, counts binary"
