@@ -102,4 +102,15 @@ SELECT doc_id, tm FROM d WHERE ('0x' || substr(sha256('stemma-sample-1|' || CASE
  e AS (SELECT a, b FROM alike UNION SELECT b, a FROM alike),
  reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a)
 SELECT a AS doc_id, min(b) AS group_id FROM (SELECT a, b FROM reach UNION SELECT a, a FROM reach) GROUP BY 1""",
+    "p9_found": """WITH l AS (SELECT doc_id, regexp_replace(translate(lower(strip_accents(text)), 'ςϲ', 'σσ'), '[^\\p{L}]', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
+ k AS (SELECT item_id, regexp_replace(translate(lower(strip_accents(text)), 'ςϲ', 'σσ'), '[^\\p{L}]', '', 'g') AS t FROM test_items WHERE text IS NOT NULL),
+ d AS (SELECT doc_id, substr(t, i::BIGINT, 48) AS g FROM l, LATERAL (SELECT unnest(range(1, length(t) - 46)) AS i)),
+ q AS (SELECT item_id, substr(t, i::BIGINT, 48) AS g FROM k, LATERAL (SELECT unnest(range(1, length(t) - 46)) AS i))
+SELECT DISTINCT doc_id, item_id FROM d JOIN q USING (g)""",
+    "p10_found": """WITH w AS (SELECT doc_id, i, md5(substr(text, i::BIGINT + 1, 200)) AS g FROM documents, LATERAL (SELECT unnest(range(0, length(text) - 199)) AS i) WHERE text IS NOT NULL),
+ s AS (SELECT g FROM w GROUP BY 1 HAVING count(DISTINCT doc_id) > 1),
+ p AS (SELECT DISTINCT doc_id, i FROM w SEMI JOIN s USING (g)),
+ n AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER o + 200 THEN 0 ELSE 1 END AS new FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+ r AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM n)
+SELECT doc_id, min(i)::BIGINT AS span_start, (max(i) + 200)::BIGINT AS span_end FROM r GROUP BY doc_id, run""",
 }
