@@ -83,7 +83,7 @@ def _units(docs: DataFrame) -> DataFrame:
 _D = "(SELECT DISTINCT ON (doc_id) * REPLACE (lower(trim(split, ' ' || chr(9))) AS split) FROM corpus WHERE doc_id IS NOT NULL)"
 _P = "(SELECT DISTINCT * FROM predictions)"
 _FROM, _TO = "ςϲϐϑϕϱϰϖϝϟ", "σσβθφρκπϛϙ"
-_GREEK = "αβγδεζηθικλμνξοπρστυφχψωϛϙϡ"
+_GREEK, _ASCII = "αβγδεζηθικλμνξοπρστυφχψωϛϙϡ", "abcdefghijklmnopqrstuvwxyz0"  # DuckDB's levenshtein counts bytes
 _SPACES = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
@@ -521,3 +521,61 @@ def model_dating(spark, sf):
 @query()
 def model_linelen(spark, sf):
     return pipeline.experiment(_docs(spark, sf), "genre", "linelen", cers=(0,), seeds=(1,), trees=10)
+
+
+@query(f"""WITH q AS ({_SYN}), seg AS (SELECT unit_id, unnest(string_split_regex(text, '[▯\\n]')) AS s FROM {_TEST}),
+ pairs AS (SELECT query, unit_id, s, length(query)::BIGINT AS m FROM q, seg WHERE length(s) > 0),
+ at AS (SELECT query, unit_id, s, m, unnest(range(1, length(s) + 1)) AS i FROM pairs),
+ sub AS (SELECT query, unit_id, m, substr(s, i, l) AS x FROM (SELECT query, unit_id, s, m, i, unnest(range(greatest(1, m - 3), m + 4)) AS l FROM at) WHERE i + l - 1 <= length(s)),
+ best AS (SELECT query, unit_id, m, min(levenshtein(translate(query, '{_GREEK}', '{_ASCII}'), translate(x, '{_GREEK}', '{_ASCII}'))) AS d FROM (SELECT DISTINCT * FROM sub) GROUP BY 1, 2, 3)
+SELECT 'lev1' AS method, query, unit_id FROM best WHERE d <= 1 UNION ALL SELECT 'lev2', query, unit_id FROM best WHERE d <= 2 UNION ALL SELECT 'normdist', query, unit_id FROM best WHERE 4 * d <= m""".replace(" at AS (", " place AS (").replace("FROM at)", "FROM place)"))
+def search_fuzzy(spark, sf):
+    _, test, queries = _test_and_queries(spark, sf)
+    return search.run_methods(test, queries, methods=("lev1", "lev2", "normdist"))[0]
+
+
+@query()
+def search_curve(spark, sf):
+    _, _, queries = _test_and_queries(spark, sf)
+    return pipeline.search_curve(_docs(spark, sf), queries, (0, 20))
+
+
+_FORMS_SQL = SQL["name_forms"]
+
+
+@query(f"SELECT form AS query FROM (SELECT form, count(*) AS n FROM ({_FORMS_SQL}) GROUP BY 1) WHERE n >= 2 ORDER BY sha256('names|' || form), form LIMIT 500")
+def name_queries(spark, sf):
+    return search.name_queries(name_forms(spark, sf))
+
+
+@query()
+def query_sets(spark, sf):
+    docs = _docs(spark, sf)
+    test, train = (_units(docs.where(f"split = '{s}'")) for s in ("test", "train"))
+    words = table(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("value"))
+    return search.build_queries(test, name_forms(spark, sf), words, train, n_synthetic=_N_SYN)
+
+
+_BUILT = ("date_lo", "date_hi", "date_mid", "date_width", "gram_type", "gram_subtype", "tm_in_both", "split", "fold")
+
+
+@query(f"""WITH a AS ({SQL['first_match_dates']}), b AS ({SQL['labelled_documents']}), c AS ({SQL['keys_in_both']})
+SELECT d.doc_id, d.source, d.tm, a.date_lo, a.date_hi, a.date_mid, a.date_width, b.gram_type, b.gram_subtype, c.in_both AS tm_in_both FROM {_D} d JOIN a USING (doc_id) JOIN b USING (doc_id) JOIN c USING (doc_id)""")
+def built_corpus(spark, sf):
+    docs = pipeline.build_corpus(_docs(spark, sf).drop(*_BUILT), table(spark, sf, "hgv_dates"), table(spark, sf, "grammateus"))
+    return docs.select("doc_id", "source", "tm", "date_lo", "date_hi", "date_mid", "date_width", "gram_type", "gram_subtype", "tm_in_both")
+
+
+@query()
+def split_corpus(spark, sf):
+    return pipeline.split_corpus(_docs(spark, sf)).select("doc_id", "group_id", "split", "fold")
+
+
+@query()
+def model_form(spark, sf):
+    return pipeline.experiment(_docs(spark, sf), "form", "letterbag", cers=(0,), seeds=(1,), iterations=10)
+
+
+@query()
+def model_matched(spark, sf):
+    return pipeline.experiment(_docs(spark, sf), "genre", "tfidf", "matched", cers=(10,), seeds=(1,), iterations=20)

@@ -37,7 +37,7 @@ class Stage:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/stemma-{name}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.paths: dict[int, tuple[DataFrame, str]] = {}  # holds the frames, so that no id is used twice
         self.n = 0
         atexit.register(self.clear)
 
@@ -46,13 +46,13 @@ class Stage:
         self.n += 1
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.paths[id(out)] = out, path
         return out
 
     def drop(self, df: DataFrame) -> None:
-        path = self.paths.pop(id(df), None)
-        if path:
-            self._delete(path)
+        held = self.paths.pop(id(df), None)
+        if held:
+            self._delete(held[1])
 
     def clear(self) -> None:
         try:
