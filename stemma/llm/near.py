@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,27 +12,104 @@ from pyspark.sql import functions as F
 from ..session import Stage
 from .arrays import mix, product, triangle
 from .groups import hash_to_min
-from .shingles import alike_sizes, budget, COUNTERS, distinct_shingles, frequencies, fresh, latest, parity, positions_allow, prefixes, text_rows, verified
+from .shingles import COUNTERS, SLICES, alike_sizes, budget, distinct_shingles, frequencies, fresh, latest, parity, positions_allow, prefixes, sizes_of, text_rows, verified
 
 #: A shingle in more texts than this is compared chunk against chunk, each pair of chunks a key of its own.
 CHUNK = 4096
+#: Texts of a star from which on its members, known to be one group, are not compared with each other.
+GROUP = 64
+#: Slots of the table of star centres, and hashes a text tries.
+SLOTS, TRIES = 1 << 18, 4
 _LEAF = 16
+_CENTRE = np.dtype([("id", "<i8"), ("n", "<i4"), ("s", "<u8", 4)])
+
+
+def _slots(row: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text with shingles its row, and its slots by the smallest hash of its shingles under each of some functions."""
+    n, start = sizes_of(row, rows)
+    some = np.flatnonzero(n)
+    if not len(some):
+        return some, np.zeros((TRIES, 0), np.int64)
+    low = [np.minimum.reduceat(mix(h ^ np.uint64(0x9E3779B9 * (j + 1))), start[some]) for j in range(TRIES)]
+    return some, np.stack([(mix(x + np.uint64(j)) % np.uint64(SLOTS)).astype(np.int64) for j, x in enumerate(low)])
+
+
+def _smaller(table: np.ndarray, other: np.ndarray) -> np.ndarray:
+    take = (other["n"] > 0) & ((table["n"] == 0) | (other["id"] < table["id"]))
+    return np.where(take, other, table)
+
+
+def star_links(rows: DataFrame) -> DataFrame:
+    """Pairs of text ids (``a``, ``b``) of a text and a centre that it may be alike to, at most ``TRIES`` a text.
+
+    Texts that are alike mostly fall on one slot of a table of fixed size (11 MB), whose centre is the
+    smallest id there. A large group of near-copies is so tied together by as many links as it has
+    members instead of all its pairs. What is not found here is found by the trie.
+    """
+    parts = SLOTS // 16
+
+    def fill(batches):
+        table = np.zeros(SLOTS, _CENTRE)
+        for texts, ids, _ in fresh(batches):
+            row, h = distinct_shingles(texts)
+            some, slots = _slots(row, h, len(texts))
+            own = np.zeros(len(texts), _CENTRE)
+            own["id"], own["n"], own["s"] = ids, sizes_of(row, len(texts))[0], parity(row, h, len(texts))
+            some_order = np.argsort(-ids[some].astype(np.float64), kind="stable")
+            for at in slots:
+                new = np.zeros(SLOTS, _CENTRE)
+                new[at[some_order]] = own[some[some_order]]  # of several on one slot the last, the smallest
+                table = _smaller(table, new)
+        if table["n"].any():
+            yield pa.record_batch([pa.array(range(16), pa.int32()), pa.array([zlib.compress(table[i * parts : (i + 1) * parts].tobytes(), 1) for i in range(16)], pa.binary())], ["slice", "centres"])
+
+    def merge(batches):
+        got: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, blob in zip(batch.column("slice").to_pylist(), batch.column("centres").to_pylist()):
+                t = np.frombuffer(zlib.decompress(blob), _CENTRE)
+                got[i] = _smaller(got[i], t) if i in got else t
+        yield pa.record_batch([pa.array(list(got), pa.int32()), pa.array([zlib.compress(t.tobytes(), 1) for t in got.values()], pa.binary())], ["slice", "centres"])
+
+    given, schema = rows.select("id", "text"), "slice int, centres binary"
+    table = np.zeros(SLOTS, _CENTRE)
+    for r in given.mapInArrow(fill, schema).repartition(16, "slice").mapInArrow(merge, schema).collect():
+        table[r["slice"] * parts : (r["slice"] + 1) * parts] = np.frombuffer(zlib.decompress(r["centres"]), _CENTRE)
+    sent = rows.sparkSession.sparkContext.broadcast(table)
+
+    def tie(batches):
+        centres = sent.value
+        for texts, ids, _ in fresh(batches):
+            row, h = distinct_shingles(texts)
+            some, slots = _slots(row, h, len(texts))
+            n, bits = sizes_of(row, len(texts))[0][some], parity(row, h, len(texts))[some]
+            pairs = []
+            for at in slots:
+                c = centres[at]
+                far = np.bitwise_count(c["s"] ^ bits).sum(1)
+                ok = (c["id"] != ids[some]) & alike_sizes(n, c["n"].astype(np.int64)) & (far <= budget(n, c["n"].astype(np.int64)))
+                pairs.append(np.c_[np.minimum(c["id"], ids[some])[ok], np.maximum(c["id"], ids[some])[ok]])
+            pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+            yield pa.record_batch([pairs[:, 0].copy(), pairs[:, 1].copy()], ["a", "b"])
+
+    return given.mapInArrow(tie, "a long, b long").distinct()
 
 
-def trie_pairs(block: np.ndarray, bits: np.ndarray, n: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of one block whose bits differ in no more places than the budget of their sizes.
+def trie_pairs(block: np.ndarray, bits: np.ndarray, n: np.ndarray, rank: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of one block and of different groups whose bits differ in no more places than the budget of their sizes.
 
     A block falls into bands of sizes, each a quarter larger than the one before, so that alike
     sets stand in the same band or in neighbours. Sorted by bits, each band is a binary trie in
     place: a node is a range, and a bit splits it where the bit turns 1. All bands descend
     together, bit by bit. A node meets itself as its two halves and as their pair, two nodes meet
     as the four pairs of their halves; a pair of unlike halves has one more differing bit, and a
-    pair of nodes goes when its differing bits exceed the largest budget within. Small nodes are
-    compared at once.
+    pair of nodes goes when its differing bits exceed the largest budget within, or when all
+    within are of one group. Small nodes are compared at once.
     """
     band = np.floor(np.log(np.maximum(n, 1)) / np.log(1.2500001)).astype(np.int16)
     order = np.lexsort((bits[:, 3], bits[:, 2], bits[:, 1], bits[:, 0], band, block))
-    block, band, bits, n, rank = block[order], band[order], bits[order], n[order].astype(np.int64), rank[order].astype(np.int64)
+    block, band, bits, n, rank, group = block[order], band[order], bits[order], n[order].astype(np.int64), rank[order].astype(np.int64), group[order]
+    changes = np.r_[0, np.cumsum(group[1:] != group[:-1])] if len(group) else group
     edge = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (band[1:] != band[:-1])]) if len(block) else np.zeros(0, np.int64)
     lo, hi = edge, np.r_[edge[1:], len(block)]
     found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -39,8 +118,12 @@ def trie_pairs(block: np.ndarray, bits: np.ndarray, n: np.ndarray, rank: np.ndar
     def most(a, b):
         return np.maximum.reduceat(padded, np.c_[a, b].ravel())[::2] if len(a) else np.zeros(0, np.int64)
 
+    def one(a0, a1, b0, b1):
+        """Whether two ranges hold members of a single group."""
+        return (changes[a0] == changes[a1 - 1]) & (changes[b0] == changes[b1 - 1]) & (group[a0] == group[b0])
+
     def leaf(i, j):
-        ok = alike_sizes(n[i], n[j]) & positions_allow(n[i], rank[i], n[j], rank[j])
+        ok = (group[i] != group[j]) & alike_sizes(n[i], n[j]) & positions_allow(n[i], rank[i], n[j], rank[j])
         i, j = i[ok], j[ok]
         far = np.zeros(len(i), np.int64)
         for w in range(4):
@@ -65,11 +148,13 @@ def trie_pairs(block: np.ndarray, bits: np.ndarray, n: np.ndarray, rank: np.ndar
             a0, a1, b0, b1, err = (np.concatenate(x) for x in zip(*parts))
             some = (a1 > a0) & (b1 > b0)
             a0, a1, b0, b1, err = (x[some] for x in (a0, a1, b0, b1, err))
-            near = err <= budget(most(a0, a1), most(b0, b1))
+            near = (err <= budget(most(a0, a1), most(b0, b1))) & ~one(a0, a1, b0, b1)
             a0, a1, b0, b1, err = (x[near] for x in (a0, a1, b0, b1, err))
             lo, hi = np.r_[lo, mid], np.r_[mid, hi]
             some = hi - lo > 1
             lo, hi = lo[some], hi[some]
+            some = changes[lo] != changes[hi - 1]
+            lo, hi = lo[some], hi[some]
         leaf(*triangle(lo, hi))
         leaf(*product(a0, a1, b0, b1))
 
@@ -84,49 +169,130 @@ def trie_pairs(block: np.ndarray, bits: np.ndarray, n: np.ndarray, rank: np.ndar
     return (np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])) if found else (np.zeros(0, np.int64),) * 2
 
 
-def trie_candidates(rows: DataFrame, counts: np.ndarray) -> DataFrame:
-    """Pairs of text ids that share a prefix shingle and pass the trie self-join of its block."""
-    shared = rows.sparkSession.sparkContext.broadcast(counts)  # 4 MB, of a fixed size
+def group_counters(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each counter of :func:`frequencies`: texts of a large group, and the least and greatest mark of such a group (0: none).
+
+    The same fixed size as the frequencies, and empty where there is no large group.
+    """
+
+    def count(batches):
+        f, low, high = np.zeros(COUNTERS, np.int32), np.full(COUNTERS, 2**31 - 1, np.int32), np.zeros(COUNTERS, np.int32)
+        for texts, _, groups in fresh(batches, "group"):
+            row, h = distinct_shingles(texts)
+            c = (h % np.uint64(COUNTERS)).astype(np.int64)
+            m = _marks(np.array(groups, np.int64))[row]
+            np.add.at(f, c, 1)
+            np.minimum.at(low, c, m)
+            np.maximum.at(high, c, m)
+        if f.any():
+            yield pa.record_batch([pa.array(range(SLICES), pa.int32()), *(pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(y, SLICES)], pa.binary()) for y in (f, low, high))], ["slice", "f", "low", "high"])
+
+    def merge(batches):
+        got: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for i, *blobs in zip(*(batch.column(c).to_pylist() for c in ("slice", "f", "low", "high"))):
+                f, low, high = (np.frombuffer(zlib.decompress(x), np.int32) for x in blobs)
+                if i in got:
+                    g = got[i]
+                    f, low, high = np.minimum(g[0] + f.astype(np.int64), 2**31 - 1).astype(np.int32), np.minimum(g[1], low), np.maximum(g[2], high)
+                got[i] = [f, low, high]
+        yield pa.record_batch([pa.array(list(got), pa.int32()), *(pa.array([zlib.compress(g[j].tobytes(), 1) for g in got.values()], pa.binary()) for j in range(3))], ["slice", "f", "low", "high"])
+
+    schema = "slice int, f binary, low binary, high binary"
+    out = np.zeros(COUNTERS, np.int32), np.full(COUNTERS, 2**31 - 1, np.int32), np.zeros(COUNTERS, np.int32)
+    n = COUNTERS // SLICES
+    for r in rows.where("large").select("id", "text", "group").mapInArrow(count, schema).repartition(SLICES, "slice").mapInArrow(merge, schema).collect():
+        for x, c in zip(out, ("f", "low", "high")):
+            x[r["slice"] * n : (r["slice"] + 1) * n] = np.frombuffer(zlib.decompress(r[c]), np.int32)
+    return out
+
+
+def _marks(groups: np.ndarray) -> np.ndarray:
+    return (mix(groups.view(np.uint64)) >> np.uint64(34)).astype(np.int32) | 1
+
+
+def _spread(own: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each index as often as ``times`` says, and a running number for each."""
+    again = np.repeat(np.arange(len(own)), times)
+    return again, np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
+
+
+def block_keys(key: np.ndarray, ids: np.ndarray, f: np.ndarray, heavy_f: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The blocks of each row: its index and the block's key, so that no block grows with its shingle.
+
+    ``f`` counts the texts with the shingle, ``heavy_f`` those of one large group, ``heavy`` tells whether the
+    row is of it. The others are cut into chunks, and each pair of chunks is a block. The large
+    group's members, which need not meet each other, are cut into chunks too, and each of these
+    meets each chunk of the others.
+    """
+    parts, heavy_parts = (f - heavy_f) // CHUNK + 1, np.where(heavy_f > 0, heavy_f // CHUNK + 1, 0)
+    spot = mix(ids.view(np.uint64))
+    own = (spot % parts.astype(np.uint64)).astype(np.int64)
+    light = np.flatnonzero(~heavy)
+    again, other = _spread(light, parts[light])
+    i = light[again]
+    pair = (np.minimum(own[i], other) << 20 | np.maximum(own[i], other)).astype(np.uint64)
+    out, keys = [i], [np.where(parts[i] > 1, mix(key[i] ^ mix(pair)), key[i])]
+    if heavy_f.any():
+        tag = np.uint64(1) << np.uint64(60)
+        again, other = _spread(light, heavy_parts[light])
+        i = light[again]
+        out.append(i)
+        keys.append(mix(key[i] ^ mix((own[i] << 20 | other).astype(np.uint64) | tag)))
+        dense = np.flatnonzero(heavy)
+        again, other = _spread(dense, np.where(f[dense] > heavy_f[dense], parts[dense], 0))  # a shingle of the group alone joins nothing
+        i = dense[again]
+        mine = (spot[i] % heavy_parts[i].astype(np.uint64)).astype(np.int64)
+        out.append(i)
+        keys.append(mix(key[i] ^ mix((other << 20 | mine).astype(np.uint64) | tag)))
+    return np.concatenate(out), np.concatenate(keys)
+
+
+def trie_candidates(rows: DataFrame, counts: np.ndarray, large: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
+    """Pairs of text ids of different groups that share a prefix shingle and pass the trie self-join of its block.
+
+    ``rows`` has ``id``, ``text``, ``group`` (the text's own id, or that of its large group) and ``large``.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((counts, *large))  # 16 MB, of a fixed size
 
     def emit(batches):
-        f = shared.value
-        for texts, ids, _ in fresh(batches):
+        f, heavy_f, low, high = shared.value
+        for texts, ids, groups in fresh(batches, "group"):
+            group = np.array(groups, np.int64)
             row, h = distinct_shingles(texts)
             at, rank, n = prefixes(row, h, len(texts), f)
             bits = parity(row, h, len(texts))
             r, key = row[at], h[at]
-            times = f[(key % np.uint64(COUNTERS)).astype(np.int64)] // CHUNK + 1
-            if times.max(initial=1) > 1:  # each chunk of a hot shingle meets each other one under a key of its own
-                again = np.repeat(np.arange(len(r)), times)
-                other = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
-                own = (mix(ids[r[again]].view(np.uint64)) % times[again].astype(np.uint64)).astype(np.int64)
-                pair = (np.minimum(own, other) << 20 | np.maximum(own, other)).astype(np.uint64)
-                key = np.where(times[again] > 1, mix(key[again] ^ mix(pair)), key[again])
-                r, rank = r[again], rank[again]
-            yield pa.record_batch([key.view(np.int64), ids[r], n[r] << 32 | rank, *(bits[r, j].view(np.int64) for j in range(4))], ["k", "id", "place", "s0", "s1", "s2", "s3"])
+            c = (key % np.uint64(COUNTERS)).astype(np.int64)
+            single = low[c] == high[c]  # with several large groups on a counter all of them are cut as the others are
+            dense = np.minimum(np.where(single, heavy_f[c], 0), f[c])
+            i, key = block_keys(key, ids[r], f[c], dense, single & (dense > 0) & (_marks(group)[r] == high[c]))
+            r, rank = r[i], rank[i]
+            yield pa.record_batch([key.view(np.int64), ids[r], group[r], n[r] << 32 | rank, *(bits[r, j].view(np.int64) for j in range(4))], ["k", "id", "grp", "place", "s0", "s1", "s2", "s3"])
 
     def meet(batches):
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         t = pa.Table.from_batches(got)
-        k, ids, place, *s = (t.column(c).to_numpy() for c in ("k", "id", "place", "s0", "s1", "s2", "s3"))
-        i, j = trie_pairs(k, np.stack(s, 1).view(np.uint64), place >> 32, place & 0xFFFFFFFF)
+        k, ids, group, place, *s = (t.column(c).to_numpy() for c in ("k", "id", "grp", "place", "s0", "s1", "s2", "s3"))
+        i, j = trie_pairs(k, np.stack(s, 1).view(np.uint64), place >> 32, place & 0xFFFFFFFF, group)
         a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
         pairs = np.unique(np.c_[a, b][a < b], axis=0)
         yield pa.record_batch([pairs[:, 0].copy(), pairs[:, 1].copy()], ["a", "b"])
 
-    keyed = rows.select("id", "text").mapInArrow(emit, "k long, id long, place long, s0 long, s1 long, s2 long, s3 long")
+    keyed = rows.select("id", "text", "group").mapInArrow(emit, "k long, id long, grp long, place long, s0 long, s1 long, s2 long, s3 long")
     return keyed.repartition("k").mapInArrow(meet, "a long, b long").distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, lines: str = "lines", least: int = 20) -> DataFrame:
-    """Documents in groups of at least two that are alike: ``doc_id``, ``group_id``, ``links``.
+    """Documents in groups of at least two that are alike: ``doc_id``, ``group_id``.
 
     Two texts (lines joined, signs of loss left out) are alike if both have ``least`` letters and
     their sets of 5-letter shingles have a Jaccard similarity of 0.8 or more. Groups are
-    connected components; ``group_id`` is the smallest ``doc_id``; ``links`` counts the other
-    texts that the document's text is alike to. Equal texts are one node whatever their number.
+    connected components; ``group_id`` is the smallest ``doc_id``. Equal texts are one node
+    whatever their number, and a large group of near-copies is first tied to common centres, each
+    tie verified, so that its members are compared with all others but not with each other.
 
     Of a document delivered again the last delivery counts (ties: the greatest text hash). Null
     or empty lines, short texts and null ids give no row; null lines in the list count as
@@ -136,12 +302,16 @@ def near_duplicate_groups(docs: DataFrame, lines: str = "lines", least: int = 20
     rows = text_rows(docs.select("doc_id", F.col(lines).alias("lines"), *(["loaded_at"] if "loaded_at" in docs.columns else [])), 0)
     member = stage.save(latest(rows.withColumn("size", F.length("text")), "id", "size").where(F.col("size") >= least).select("doc_id", "id"))
     rows = rows.where(F.length("text") >= least)
-    pairs = stage.save(trie_candidates(rows, frequencies(rows)))
-    links = stage.save(verified(pairs, rows, stage))
     alive = member.select("id").distinct()
-    links = links.join(alive.withColumnRenamed("id", "a"), "a", "left_semi").join(alive.withColumnRenamed("id", "b"), "b", "left_semi")
+    of_living = lambda p: p.join(alive.withColumnRenamed("id", "a"), "a", "left_semi").join(alive.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
+    stars = stage.save(of_living(verified(stage.save(star_links(rows)), rows, stage).select("a", "b")))
+    centre = hash_to_min(stars)
+    large = centre.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") >= GROUP).select("root")
+    tied = stage.save(centre.join(large, "root", "left_semi").select(F.col("vertex").alias("id"), F.col("root").alias("group")))
+    known = rows.select("id", "text").join(tied, "id", "left").select("id", "text", F.coalesce("group", "id").alias("group"), F.col("group").isNotNull().alias("large"))
+    pairs = stage.save(trie_candidates(known, frequencies(rows), group_counters(known)))
+    links = stars.union(stage.save(of_living(verified(pairs, rows, stage).select("a", "b")))).distinct()
     root = hash_to_min(links).withColumnRenamed("vertex", "id")
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-    grouped = stage.save(member.join(root, "id", "left").join(degree, "id", "left").select("doc_id", F.coalesce("root", "id").alias("root"), F.coalesce("links", F.lit(0)).alias("links")))
+    grouped = stage.save(member.join(root, "id", "left").select("doc_id", F.coalesce("root", "id").alias("root")))
     named = grouped.groupBy("root").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return grouped.join(named, "root").select("doc_id", "group_id", "links")
+    return grouped.join(named, "root").select("doc_id", "group_id")

@@ -92,6 +92,30 @@ def test_hot_shingles_go_in_chunks(spark, monkeypatch):
     assert {tuple(sorted(p)) for p in rows(overlap.cross_split_overlaps(docs), "train_id", "held_id")} == cross
 
 
+def test_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(near, "GROUP", 3)
+    r = random.Random(9)
+    base = [word(r, 150) for _ in range(3)]
+    texts = {f"g{i:03}": edited(r, base[i % 3], r.randrange(0, 5)) for i in range(150)}
+    texts |= {f"x{i:03}": edited(r, base[i % 3], 4 + i % 9) for i in range(30)}
+    texts |= {f"y{i:03}": word(r, 60) + base[i % 3][:90] for i in range(9)} | {"z": base[0] + base[1]}
+    docs = spark.createDataFrame([(d, [t], "train", "s", None) for d, t in texts.items()], "doc_id string, lines array<string>, split string, source string, loaded_at string")
+    pairs, _ = truth(docs)
+    want = sorted(union_find(pairs).items(), key=repr)
+    for chunk in (4096, 16, 2):
+        monkeypatch.setattr(near, "CHUNK", chunk)
+        assert rows(near.near_duplicate_groups(docs)) == want
+    n = len(texts)
+    key, ids, f = np.full(n, 5, np.uint64), np.arange(n), np.full(n, n)
+    heavy = np.arange(n) % 3 == 0
+    i, k = near.block_keys(key, ids, f, np.full(n, heavy.sum()), heavy)
+    met = {}
+    for a, b in zip(i.tolist(), k.tolist()):
+        met.setdefault(b, []).append(a)
+    pairs = {(a, b) for m in met.values() for a in m for b in m if a < b}
+    assert all((a, b) in pairs for a in range(n) for b in range(a + 1, n) if not (heavy[a] and heavy[b])) and max(map(len, met.values())) < 25
+
+
 def test_no_editions(spark):
     docs = editions(spark).limit(0)
     assert rows(near.near_duplicate_groups(docs)) == [] and rows(overlap.cross_split_overlaps(docs)) == []
@@ -103,13 +127,14 @@ def test_trie_is_complete():
     base = rng.integers(0, 2**63, (20, 4), dtype=np.uint64)
     bits = base[rng.integers(0, 20, 300)] ^ (rng.integers(0, 2**63, (300, 4), dtype=np.uint64) & rng.integers(0, 2**63, (300, 4), dtype=np.uint64) & rng.integers(0, 2**63, (300, 4), dtype=np.uint64) & rng.integers(0, 2**63, (300, 4), dtype=np.uint64))
     block, rank = rng.integers(0, 4, 300), np.zeros(300, np.int64)
-    i, j = near.trie_pairs(block, bits, n, rank)
+    group = np.where(rng.integers(0, 3, 300) == 0, 7, np.arange(1000, 1300))
+    i, j = near.trie_pairs(block, bits, n, rank, group)
     got = {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())}
     want = set()
     for a in range(300):
         for b in range(a):
             far = int(sum(np.bitwise_count(bits[a] ^ bits[b])))
-            if block[a] == block[b] and shingles.alike_sizes(n[a], n[b]) and far <= shingles.budget(n[a], n[b]):
+            if block[a] == block[b] and group[a] != group[b] and shingles.alike_sizes(n[a], n[b]) and far <= shingles.budget(n[a], n[b]):
                 want.add((b, a))
     assert got == want and len(want) > 20
 
