@@ -124,5 +124,5 @@ def distinctive_terms(docs: DataFrame, lines: str = "lines", k: int = 6, barrier
     total = rows.select("doc_id").distinct().count()
     per = texts.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(count, "doc_id string, term string, tf long").groupBy("term", "doc_id").agg(F.max("tf").alias("tf"))
     stats = per.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("most")).where(F.col("most") >= min_count)
-    ridf = -F.log2(F.col("df") / F.lit(float(max(total, 1)))) + F.log2(1 - F.exp(-F.col("cf") / F.lit(float(max(total, 1)))))
+    ridf = -F.log2(F.col("df") / F.lit(float(max(total, 1)))) + F.log2(-F.expm1(-F.col("cf") / F.lit(float(max(total, 1)))))
     return per.where(F.col("tf") >= min_count).join(stats, "term").withColumn("ridf", ridf).select("doc_id", "term", "tf", "df", "cf", "ridf", (F.col("tf") * F.col("ridf")).alias("score"))
