@@ -125,7 +125,7 @@ def editions(files: DataFrame, alphabet: Alphabet = GREEK) -> DataFrame:
     words = F.transform("kept", lambda x: x["text"])
     return e.withColumn("kept", lines).select(
         F.concat_ws("/", "source", stem).alias("doc_id"), "path", "source",
-        F.when(tm.rlike(r"^\d+$"), tm.cast("long")).alias("tm"), hybrid.alias("hybrid"),
+        F.when(tm.rlike(r"^\d+$"), tm.try_cast("long")).alias("tm"), hybrid.alias("hybrid"),
         F.coalesce(F.split(F.trim(F.element_at("ids", "HGV")), r"\s+"), F.array().cast("array<string>")).alias("hgv"),
         F.transform(words, T.without_blanks).alias("lines"), words.alias("words"),
         T.letters_in(words).alias("letters"), T.text_lines(words).alias("text_lines"),

@@ -118,9 +118,9 @@ def middle(lo: Column | str, hi: Column | str) -> Column:
 
 
 def url_key(url: Column | str) -> Column:
-    """The last part of a URL, percent-decoded; outer blanks and final slashes don't count, ``+`` stays."""
+    """The last part of a URL, percent-decoded; outer blanks and final slashes don't count, ``+`` stays, and so does what can't be decoded."""
     last = F.regexp_extract(F.regexp_replace(F.trim(_col(url)), "/+$", ""), "[^/]*$", 0)
-    return F.url_decode(F.replace(last, F.lit("+"), F.lit("%2B")))
+    return F.coalesce(F.try_url_decode(F.replace(last, F.lit("+"), F.lit("%2B"))), last)
 
 
 def size_bin(letters: Column | str, edges: tuple[int, ...] = LETTER_BINS) -> Column:

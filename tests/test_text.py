@@ -68,10 +68,10 @@ def test_grams_and_counts(spark):
 
 
 def test_small_parsers(spark):
-    d = spark.createDataFrame([("-0099-01", " https://x/y/ddb%3Ba+b%20c/ ", 0), ("0117", "p;1", 19), ("12", None, 20), ("0000", "", 1999), (None, "/", 2000)], "y string, u string, n int")
+    d = spark.createDataFrame([("-0099-01", " https://x/y/ddb%3Ba+b%20c/ ", 0), ("0117", "p;1", 19), ("12", None, 20), ("0000", "a/b%zz+", 1999), (None, "/", 2000)], "y string, u string, n int")
     got = d.select(T.year("y"), T.url_key("u"), T.size_bin("n")).collect()
     assert [r[0] for r in got] == [-99, 117, None, None, None]
-    assert [r[1] for r in got] == ["ddb;a+b c", "p;1", None, "", ""]
+    assert [r[1] for r in got] == ["ddb;a+b c", "p;1", None, "b%zz+", ""]
     assert [r[2] for r in got] == ["0", "1–19", "20–49", "1000–1999", "≥2000"]
 
 
