@@ -27,7 +27,7 @@ def bind(value: Column, then: Callable[[Column], Column]) -> Column:
 
 @cache
 def _folding(letters: str, folds: tuple[tuple[str, str], ...]) -> tuple[str, str]:
-    """All characters that become a letter of the alphabet, and which.
+    """All characters that become a letter of the alphabet or a blank, and which.
 
     Made by rule: decomposed, without combining marks, in lower case, variants read as one.
     Decomposition is context-free but for the order of marks, which are dropped; hence one
@@ -38,23 +38,33 @@ def _folding(letters: str, folds: tuple[tuple[str, str], ...]) -> tuple[str, str
         if 0xD800 <= c < 0xE000:
             continue
         base = [x for x in unicodedata.normalize("NFD", chr(c)) if not unicodedata.combining(x)]
-        out = [y for x in base if (y := fold.get(x.lower(), x.lower())) in letters and y]
+        out = [" " if x.isspace() else y for x in base if (y := fold.get(x.lower(), x.lower())) and (x.isspace() or y in letters)]
         if len(out) == 1 and out[0] != chr(c):
             source.append(chr(c))
             target.append(out[0])
     return "".join(source), "".join(target)
 
 
+def ranges(letters: str) -> str:
+    """The letters as ranges of a character class, which are tested faster than single characters."""
+    runs: list[list[int]] = []
+    for c in sorted(set(map(ord, letters))):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs)
+
+
 def normalize(text: Column | str, alphabet: Alphabet = GREEK) -> Column:
     """Letters of the alphabet with single blanks; runs of losses parted only by blanks are one loss.
 
     Null stays null. Signs outside the alphabet vanish before losses are merged, so ``▯[3]▯`` is one.
     """
     source, target = _folding(alphabet.letters, tuple(alphabet.folds.items()))
-    t = F.regexp_replace(_col(text), f"{SPACE}+", " ")
-    t = F.translate(t, source, target)
-    t = F.regexp_replace(t, f"[^{alphabet.letters}{alphabet.gap} ]", "")
-    t = F.trim(F.regexp_replace(t, " +", " "))
+    t = F.translate(_col(text), source, target)
+    t = F.regexp_replace(t, f"[^{ranges(alphabet.letters + alphabet.gap + ' ')}]+", "")
+    t = F.trim(F.regexp_replace(t, " {2,}", " "))
     return F.regexp_replace(t, f"{alphabet.gap}(?: *{alphabet.gap})+", alphabet.gap)
 
 
@@ -82,7 +92,7 @@ def joined(lines: Column | str) -> Column:
 
 
 def letters_only(token: Column | str, alphabet: Alphabet = GREEK) -> Column:
-    return F.regexp_replace(normalize(token, alphabet), f"[^{alphabet.letters}]", "")
+    return F.regexp_replace(normalize(token, alphabet), f"[^{ranges(alphabet.letters)}]+", "")
 
 
 def ngrams(text: Column | str, n: int, barriers: str = f"{GAP}\n") -> Column:

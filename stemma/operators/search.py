@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import BM25_B, BM25_K1, BM25_N, GAP
 from ..functions import text as T
 from ..functions.distance import best_match
+from ..session import Stage
 from .ranking import top_per_group
 
 BARRIERS = f"{GAP}\n"
@@ -166,7 +167,7 @@ def tfidf_scores(train: DataFrame, units: DataFrame, queries: DataFrame) -> Data
     n = train.count()
     idf = document_frequency(train, TFIDF_SIZES).select("term", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"))
     weighted = lambda p: p.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    u = weighted(postings(units, TFIDF_SIZES)).select("unit_id", "term", "w")
+    u = Stage(units.sparkSession, "tfidf").save(weighted(postings(units, TFIDF_SIZES)).select("unit_id", "term", "w"))  # read twice
     norm = u.groupBy("unit_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nu"))
     qs = queries.where("query <> ''").select(F.col("query").alias("unit_id"), F.col("query").alias("text")).distinct()
     q = weighted(postings(qs, TFIDF_SIZES)).select(F.col("unit_id").alias("query"), "term", F.col("w").alias("wq"))
@@ -179,7 +180,7 @@ def bm25_scores(train: DataFrame, units: DataFrame, queries: DataFrame, n: int =
     """``query``, ``unit_id``, ``score``: BM25 over n-grams of the training vocabulary; lengths are those of the searched units."""
     count = train.count()
     df = document_frequency(train, (n,)).withColumn("idf", F.log((F.lit(float(count)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).select("term", "idf")
-    u = postings(units, (n,)).join(df, "term")
+    u = Stage(units.sparkSession, "bm25").save(postings(units, (n,)).join(df, "term"))  # read three times
     length = u.groupBy("unit_id").agg(F.sum("tf").alias("len"))
     total = units.count()
     mean = (length.agg(F.sum("len")).first()[0] or 0) / total if total else 0.0
@@ -210,8 +211,6 @@ def run_methods(units: DataFrame, queries: DataFrame, train: DataFrame | None =
     m = F.length("query")
     add = lambda out, name, df: out.append(df.select(F.lit(name).alias("method"), *df.columns))
     if {"exact", "lev1", "lev2", "normdist", "minedit"} & set(methods):
-        from ..session import Stage
-
         d = Stage(units.sparkSession, "distances").save(distances(units, queries, top))
         order = best(d.where(F.col("d") < m), "d", top, high=False)
         for name, ok in (("exact", F.col("d") == 0), ("lev1", F.col("d") <= 1), ("lev2", F.col("d") <= 2), ("normdist", 4 * F.col("d") <= m)):
@@ -305,7 +304,5 @@ def build_queries(test: DataFrame, forms: DataFrame | None = None, dictionary: D
     if dictionary is not None:
         sets["headwords"] = headword_queries(dictionary, train, n_dictionary)
     every = _stacked([q.select(F.lit(name).alias("set"), "query") for name, q in sets.items()]).distinct()
-    from ..session import Stage
-
     every = Stage(test.sparkSession, "queries").save(every)
     return every.join(relevance(test, every).select("query").distinct(), "query", "left_semi").select("set", "query")

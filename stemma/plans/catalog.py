@@ -72,8 +72,9 @@ def p6_schema(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct documents of the corpus; a second delivery has the same content."""
-    return table(spark, sf, "corpus").where("doc_id is not null").drop("loaded_at").dropDuplicates(["doc_id"]).withColumn("split", F.lower(F.trim("split", F.lit(" \t"))))
+    """Distinct documents of the corpus; a second delivery has the same content. The one shuffle has a named number of partitions, which small tables keep."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table(spark, sf, "corpus").where("doc_id is not null").drop("loaded_at").repartition(n, "doc_id").dropDuplicates(["doc_id"]).withColumn("split", F.lower(F.trim("split", F.lit(" \t"))))
 
 
 def _units(docs: DataFrame) -> DataFrame:
@@ -386,10 +387,10 @@ _IS_TEST, _IS_TRAIN = "split = 'test'", "split = 'train'"
 
 
 def _test_and_queries(spark, sf):
-    docs = _docs(spark, sf)
-    test = _units(docs.where("split = 'test'"))
     stage = Stage(spark, "catalog")
-    return stage.save(_units(docs.where("split = 'train'"))), stage.save(test), stage.save(search.synthetic_queries(test, _N_SYN).select("query"))
+    docs = stage.save(_docs(spark, sf).where("split in ('train', 'test')").select("doc_id", "lines", "split"))
+    test = _units(docs.where("split = 'test'"))
+    return _units(docs.where("split = 'train'")), test, stage.save(search.synthetic_queries(test, _N_SYN).select("query"))
 
 
 _SYN = " UNION ALL ".join(
