@@ -184,19 +184,48 @@ def list_entries(docs: DataFrame, column: str) -> DataFrame:
     return _last(docs, [column]).select("doc_id", F.lit(column).alias("field"), each.alias("node"), F.lit("").alias("parent")).where("node <> ''")
 
 
+def _edges(nodes: DataFrame) -> DataFrame:
+    """``field``, ``link``, ``name``, ``many``: the attributes of every node, and whether as one value or as an array."""
+    one = nodes.select("field", "link", F.explode(F.map_keys("attributes")).alias("name"), F.lit(False).alias("many"))
+    many = nodes.select("field", "link", F.explode("items").alias("i")).select("field", "link", "i.name", F.lit(True).alias("many"))
+    return one.union(many)
+
+
 def schema_graph(nodes: DataFrame) -> DataFrame:
     """The schema graph that the data show: per field, link and attribute how many nodes have it, and whether it repeats.
 
     Its size is that of the schema, not of the data.
     """
-    one = nodes.select("field", "link", F.explode(F.map_keys("attributes")).alias("name"), F.lit(False).alias("many"))
-    many = nodes.select("field", "link", F.explode("items").alias("i")).select("field", "link", "i.name", F.lit(True).alias("many"))
-    return one.union(many).groupBy("field", "link", "name").agg(F.count("*").alias("n"), F.max("many").alias("repeated"))
+    return _edges(nodes).groupBy("field", "link", "name").agg(F.count("*").alias("n"), F.max("many").alias("repeated"))
+
+
+def singletons(nodes: DataFrame) -> list[str]:
+    """The names in the schema graph that some node has as one value, in order; the driver gets a list of the schema's size.
+
+    A name that is an array elsewhere counts too: its single values are in no table of repeated ones.
+    """
+    return sorted(r["name"] for r in _edges(nodes).where("not many").select("name").distinct().collect())
+
+
+_KEYS = ("doc_id", "field", "node", "parent", "link")
+
+
+def column_names(names: list[str]) -> list[str]:
+    """A column name for each attribute, dots as underscores; those taken already, in any case of letters, get a number."""
+    used, out = set(_KEYS), []
+    for n in names:
+        plain = c = n.replace(".", "_") or "_"
+        i = 2
+        while c.lower() in used:
+            c, i = f"{plain}_{i}", i + 1
+        used.add(c.lower())
+        out.append(c)
+    return out
 
 
 def inlined(nodes: DataFrame, names: list[str]) -> DataFrame:
     """The table of nodes with one column for each attribute name, null where a node lacks it."""
-    return nodes.select("doc_id", "field", "node", "parent", "link", *[F.element_at("attributes", n).alias(n.replace(".", "_")) for n in names])
+    return nodes.select(*_KEYS, *[F.element_at("attributes", F.lit(n)).alias(c) for n, c in zip(names, column_names(names))])
 
 
 def repeated(nodes: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import json
 
+import __spark_entry__ as entry
 from pyspark.sql import Row
 
 from stemma.operators import nested
@@ -41,6 +42,21 @@ def test_attributes_and_items(spark):
     assert ("supplied", "extent", "precision.degree", 1, False) in rows(nested.schema_graph(n), "field", "link", "name", "n", "repeated")
 
 
+def test_every_singleton_is_a_column(spark, tmp_path):
+    values = {"a": '[{"tag":"x","n":7,"cert":"low","children":[{"Tag":"y","node":"z","deep":{"er":{"est":true}},"both":"one"}]}]', "b": '[{"both":["p","q"]}]'}
+    frame(spark, values).drop("node", "parent", "field").write.parquet(str(tmp_path / "corpus.parquet"))
+    nodes = entry.queries()["p6_nodes"](spark, str(tmp_path))
+    nodes.write.parquet(str(tmp_path / "out"))  # no two names differ in case alone
+    got = {(r["doc_id"], r["node"]): {k: v for k, v in r.asDict().items() if v is not None} for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    at = lambda doc, node, parent, link: {"doc_id": doc, "field": "supplied", "node": node, "parent": parent, "link": link}
+    assert got == {
+        ("a", "1"): at("a", "1", "", "") | {"tag_2": "x", "n": "7", "cert": "low"},
+        ("a", "1.1"): at("a", "1.1", "1", "children") | {"Tag": "y", "node_2": "z", "deep_er_est": "true", "both": "one"},
+        ("b", "1"): at("b", "1", "", ""),
+    }
+    assert rows(entry.queries()["p6_items"](spark, str(tmp_path)), "doc_id", "name", "position", "value") == [("b", "both", 1, "p"), ("b", "both", 2, "q")]
+
+
 def test_last_delivery_and_repeats(spark):
     d = spark.createDataFrame([("a", '[{"x":1}]', "2020-01-01"), ("a", '[{"x":1},{"y":1}]', "2021-01-01"), ("a", '[{"x":1},{"y":1}]', "2021-01-01"), (None, "[{}]", "2021-01-01")], "doc_id string, s string, loaded_at string")
     assert rows(nested.shred(d, ["s"]), "doc_id", "node") == [("a", "1"), ("a", "2")]
