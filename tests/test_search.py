@@ -160,3 +160,27 @@ def test_models(spark):
     for bad in ("charcnn", "byt5", "x"):
         with pytest.raises(ValueError):
             models.build(bad, "genre")
+
+
+def test_tfidf_keeps_every_ngram(spark):
+    r = random.Random(5)
+    texts = ["".join(r.choices("αβγδεζηθικλμνξοπρστυφχψωϛϙϡ", k=80_000)) for _ in range(2)]
+    docs = spark.createDataFrame([(f"d{i}", [texts[i % 2]], 80_000, "xy"[i % 2]) for i in range(4)] + [("none", [], 0, "x")], "doc_id string, lines array<string>, letters int, y string")
+    df = {}
+    for t in texts:
+        for g in {t[i : i + n] for n in range(1, 6) for i in range(len(t) - n + 1)}:
+            df[g] = df.get(g, 0) + 2
+    assert len(df) > 1 << 18
+    model = models.TfidfModel("genre", iterations=1).fit(docs)
+    assert model.size == model.head.numFeatures == len(df)
+    known = {t: (i, w) for t, i, w in rows(model.vocabulary, "term", "index", "idf")}
+    assert sorted(i for i, _ in known.values()) == list(range(len(df)))
+    probe = "αβγααβω"
+    tf = {}
+    for g in (probe[i : i + n] for n in range(1, 6) for i in range(len(probe) - n + 1)):
+        tf[g] = tf.get(g, 0) + 1
+    want = {known[g][0]: (1 + math.log(c)) * (math.log(6 / (1 + df[g])) + 1) for g, c in tf.items() if g in df}
+    norm = math.sqrt(sum(w * w for w in want.values()))
+    got = {x["doc_id"]: x["features"] for x in model.features(spark.createDataFrame([("p", [probe]), ("none", [])], "doc_id string, lines array<string>")).collect()}
+    assert got["p"].indices.tolist() == sorted(want) and np.allclose(got["p"].values, [want[i] / norm for i in sorted(want)])
+    assert got["none"].numNonzeros() == 0
