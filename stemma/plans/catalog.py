@@ -386,11 +386,28 @@ _N_SYN = 10
 _IS_TEST, _IS_TRAIN = "split = 'test'", "split = 'train'"
 
 
+def _train_and_test(spark, sf, stage):
+    docs = stage.save(_docs(spark, sf).where("split in ('train', 'test')").select("doc_id", "lines", "split"))
+    return _units(docs.where("split = 'train'")), _units(docs.where("split = 'test'"))
+
+
 def _test_and_queries(spark, sf):
+    """The tables of the searches that are compared with SQL, with its small set of queries."""
     stage = Stage(spark, "catalog")
-    docs = stage.save(_docs(spark, sf).where("split in ('train', 'test')").select("doc_id", "lines", "split"))
-    test = _units(docs.where("split = 'test'"))
-    return _units(docs.where("split = 'train'")), test, stage.save(search.synthetic_queries(test, _N_SYN).select("query"))
+    train, test = _train_and_test(spark, sf, stage)
+    return train, test, stage.save(search.synthetic_queries(test, _N_SYN).select("query"))
+
+
+def _sets(spark, sf, test, train):
+    words = table(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("value"))
+    return search.build_queries(test, name_forms(spark, sf), words, train)
+
+
+def _test_and_all_queries(spark, sf):
+    """The tables of a production search: all four query sets at their full size."""
+    stage = Stage(spark, "catalog")
+    train, test = _train_and_test(spark, sf, stage)
+    return train, test, stage.save(_sets(spark, sf, test, train).select("query").distinct())
 
 
 _SYN = " UNION ALL ".join(
@@ -419,7 +436,7 @@ def search_relevance(spark, sf):
 
 @query()
 def search_distances(spark, sf):
-    _, test, queries = _test_and_queries(spark, sf)
+    _, test, queries = _test_and_all_queries(spark, sf)
     hits, ranked = search.run_methods(test, queries, methods=("lev1", "lev2", "normdist", "minedit"))
     return hits.withColumn("rank", F.lit(None).cast("int")).union(ranked.select("method", "query", "unit_id", "rank"))
 
@@ -462,7 +479,7 @@ def search_bm25(spark, sf):
 
 @query()
 def search_metrics(spark, sf):
-    train, test, queries = _test_and_queries(spark, sf)
+    train, test, queries = _test_and_all_queries(spark, sf)
     stage = Stage(spark, "metrics")
     hits, ranked = search.run_methods(test, queries, train)
     return search.metrics(stage.save(hits), stage.save(ranked), search.relevance(test, queries))
@@ -537,7 +554,7 @@ def search_fuzzy(spark, sf):
 
 @query()
 def search_curve(spark, sf):
-    _, _, queries = _test_and_queries(spark, sf)
+    _, _, queries = _test_and_all_queries(spark, sf)
     return pipeline.search_curve(_docs(spark, sf), queries, (0, 20))
 
 
@@ -551,10 +568,52 @@ def name_queries(spark, sf):
 
 @query()
 def query_sets(spark, sf):
-    docs = _docs(spark, sf)
-    test, train = (_units(docs.where(f"split = '{s}'")) for s in ("test", "train"))
-    words = table(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("value"))
-    return search.build_queries(test, name_forms(spark, sf), words, train, n_synthetic=_N_SYN)
+    return _sets(spark, sf, *_train_and_test(spark, sf, Stage(spark, "catalog"))[::-1])
+
+
+# The searches over the production sets; those above keep the small set of their SQL.
+
+
+@query()
+def search_queries_full(spark, sf):
+    return _test_and_all_queries(spark, sf)[2]
+
+
+@query()
+def search_exact_full(spark, sf):
+    _, test, queries = _test_and_all_queries(spark, sf)
+    return search.run_methods(test, queries, methods=("exact",))[0].select("query", "unit_id")
+
+
+@query()
+def search_relevance_full(spark, sf):
+    _, test, queries = _test_and_all_queries(spark, sf)
+    return search.relevance(test, queries)
+
+
+@query()
+def search_fuzzy_full(spark, sf):
+    _, test, queries = _test_and_all_queries(spark, sf)
+    return search.run_methods(test, queries, methods=("lev1", "lev2", "normdist"))[0]
+
+
+@query()
+def search_trigram_full(spark, sf):
+    _, test, queries = _test_and_all_queries(spark, sf)
+    s = search.trigram_share(test, queries)
+    return search.best(s, "share").join(s, ["query", "unit_id"]).select("query", "unit_id", F.round("share", 9).alias("share"), "rank")
+
+
+@query()
+def search_tfidf_full(spark, sf):
+    train, test, queries = _test_and_all_queries(spark, sf)
+    return search.tfidf_scores(train, test, queries).select("query", "unit_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def search_bm25_full(spark, sf):
+    train, test, queries = _test_and_all_queries(spark, sf)
+    return search.bm25_scores(train, test, queries).select("query", "unit_id", F.round("score", 6).alias("score"))
 
 
 _BUILT = ("date_lo", "date_hi", "date_mid", "date_width", "gram_type", "gram_subtype", "tm_in_both", "split", "fold")

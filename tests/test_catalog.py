@@ -33,3 +33,19 @@ def test_every_query_is_named():
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_searches_have_the_full_sets(spark):
+    q = entry.queries()
+    sets = [tuple(r) for r in q["query_sets"](spark, SF).collect()]
+    count = {s: sum(x == s for x, _ in sets) for s in {s for s, _ in sets}}
+    assert {"synthetic", "names", "headwords"} <= set(count) and count["synthetic"] == 1000, count  # no formula stands in these tables
+    full = {r["query"] for r in q["search_queries_full"](spark, SF).collect()}
+    assert full == {x for _, x in sets}
+    given = spark.read.parquet(f"{SF}/corpus.parquet").where("doc_id is not null").select("doc_id", "lines", "split").collect()
+    texts = {r["doc_id"]: "\n".join(r["lines"] or []) for r in given if (r["split"] or "").strip(" \t").lower() == "test"}
+    want = {(x, d) for d, t in texts.items() for x in full if x in t}
+    assert {tuple(r) for r in q["search_relevance_full"](spark, SF).collect()} == want
+    near = {(r["query"], r["unit_id"]) for r in q["search_distances"](spark, SF).where("method = 'lev1'").collect()}
+    assert want <= near and {x for x, _ in near} == full
