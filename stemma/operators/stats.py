@@ -29,8 +29,8 @@ def _counts(members: DataFrame, by: list[str], col: str, kind: str, n_boot: int,
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rolls = group.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).repartition(n, "b").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
     at = F.floor(T.unit_hash(F.lit(str(seed)), label, F.lit(kind), F.col("b"), F.col("j")) * F.col("n"))
-    drawn = rolls.select(*by, "b", at.alias("index")).groupBy(*by, "b", "index").agg(F.count("*").alias("times"))
-    return drawn.join(d, [*by, "index"]).select(*by, "b", col, "times").repartition(n, "b")
+    drawn = rolls.select(*by, "b", at.alias("index")).groupBy(*by, "b", "index").agg(F.count("*").alias("times"))  # replicates x members; the planner takes it for small and would broadcast it
+    return drawn.hint("merge").join(d, [*by, "index"]).select(*by, "b", col, "times").repartition(n, "b")
 
 
 def replicates(preds: DataFrame, task: str, by: list[str], n_boot: int, seed: int = SEED) -> DataFrame:
