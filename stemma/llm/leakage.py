@@ -76,14 +76,14 @@ class Seeds:
         return out
 
     def choose(self, counts: np.ndarray) -> None:
-        """In every stretch of ``least`` letters of an item the n-gram that is rarest in the corpus, hence none is missed."""
+        """In every stretch of ``least`` letters of an item the n-gram that is rarest among those that the corpus has, hence none is missed."""
         seeds: dict[int, list[tuple[int, int]]] = {}
         w = self.least - self.k + 1
         for n, grams in enumerate(self.grams):
             if len(grams) < w:
                 continue
             f = counts[np.searchsorted(self.known, grams)].astype(np.int64)
-            rank = np.lexsort((np.arange(len(f)), f))
+            rank = np.lexsort((np.arange(len(f)), f, f == 0))
             order = np.empty(len(f), np.int64)
             order[rank] = np.arange(len(f))
             best = np.lib.stride_tricks.sliding_window_view(order, w).argmin(1) + np.arange(len(f) - w + 1)
@@ -107,10 +107,12 @@ def leaked_items(docs: DataFrame, items: DataFrame, least: int = 48, k: int = SE
 
     Texts are reduced to letters (NFD, lower case, variants of sigma as one, category L only).
     Seeds are n-grams of ``k`` letters of the items, chosen by their frequency in the whole corpus: in each
-    stretch of ``least`` letters the rarest. A document with a seed is aligned with the item
+    stretch of ``least`` letters the rarest that occurs. A document with a seed is aligned with the item
     around it (Smith-Waterman: 2 a match, -1 a mismatch or gap): ``score`` is the best local score,
     ``share`` its part of the score of the whole item, for edited copies; ``run`` is the longest exact
-    run of letters through a seed, and no pair with ``run >= least`` is missed.
+    run of letters through a seed, and no pair with ``run >= least`` is missed. An edited copy whose runs
+    are all shorter is found by those of ``k`` letters or more that hold a seed; it can be missed where in
+    each stretch another document has a rarer n-gram.
 
     The items, a held-out set, are counted first and sent in blocks of at most ``BLOCK``
     letters; the corpus is read in two narrow passes a block, and nothing of it is shuffled

@@ -267,6 +267,16 @@ def test_leaks(spark, monkeypatch, block):
     assert rows(leakage.leaked_items(dd.limit(0), ii)) == [] and rows(leakage.leaked_items(dd, ii.limit(0))) == []
 
 
+def test_leaks_of_short_runs(spark):
+    r = random.Random(9)
+    items = [(i, word(r, 300, "abcdefghijklmnopqrstuvwxyz")) for i in range(3)]
+    steps = (30, 35, 40)
+    docs = [(i, "".join("#" if n % steps[i] == steps[i] - 1 else c for n, c in enumerate(x)).replace("#", "ß")) for i, x in items]
+    got = rows(leakage.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")), "doc_id", "item_id", "run", "score")
+    changed = [300 // s for s in steps]
+    assert got == [(i, i, steps[i] - 1, 2 * 300 - 3 * changed[i] + (300 % steps[i] == 0)) for i in range(3)]
+
+
 def test_alignment():
     a = lambda s: np.frombuffer(s.encode("utf-32-le"), np.uint32)
 
