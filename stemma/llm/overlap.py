@@ -1,4 +1,4 @@
-"""Same or near-same records across splits, by a sparse suffix array."""
+"""Same or near-same records across splits, by a prefix-filter join that stands in for a suffix array."""
 
 from __future__ import annotations
 
@@ -54,13 +54,13 @@ def coverage(text: str, other: str) -> int:
 
 
 def suffix_candidates(rows: DataFrame, counts: np.ndarray) -> DataFrame:
-    """Pairs (``a`` of side 0, ``b`` of side 1) of text ids with a common prefix suffix.
+    """Pairs (``a`` of side 0, ``b`` of side 1) of text ids that share a shingle of both prefixes.
 
-    The suffix array is sparse: of each text the suffixes that begin with a shingle of its
-    prefix (rarest first, see :mod:`shingles`), which loses no pair of alike texts. It is
-    partitioned by the leading shingle and sorted within; a run of suffixes with five or more
-    letters in common then holds both sides of a shared span next to each other, and only
-    pairs across sides are formed, whose sizes and ranks leave room for the overlap needed.
+    The keys of a text are the shingles of its prefix (rarest first, see :mod:`shingles`), which
+    loses no pair of alike texts. Under a key every text of one side meets every one of the other;
+    sizes and ranks must leave room for the overlap needed. The letters that follow a shingle are
+    sorted too, but neither their order nor a common prefix, which is 5 letters at least for
+    all that share a key, rules a pair out.
     """
     shared = rows.sparkSession.sparkContext.broadcast(counts)  # 2 x 4 MB, of a fixed size
 
