@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import FOLDS, GAP, JACCARD, PERMUTATIONS, SEED, SHARES, SHINGLE
 from ..functions import text as T
 from ..session import Stage
+from .ranking import dense_index
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 64) -> DataFrame:
@@ -130,37 +131,16 @@ def grouped_splits(docs: DataFrame, edges: DataFrame, shares: dict[str, float] =
     return g.withColumn("split", T.hash_split("group_id", shares, seed))
 
 
-def stratified_folds(docs: DataFrame, group: str = "group_id", label: str = "label", folds: int = FOLDS, seed: int = SEED, largest: int = 4096) -> DataFrame:
+def stratified_folds(docs: DataFrame, group: str = "group_id", label: str = "label", folds: int = FOLDS, seed: int = SEED) -> DataFrame:
     """``group``, ``fold``: no group is in two folds, and each label is spread evenly.
 
-    Groups are ordered by size and seeded hash within their leading label and dealt out in turns
-    that go to and fro, by a rank counted in hash buckets. The largest groups, at most ``largest``
-    of them (a documented bound on what the driver holds), are first placed one by one where
-    they unbalance the labels least; the rest follow in turns.
+    All groups are ranked by their leading label, size, count of every label and seeded hash, and dealt out
+    in turns by that rank, whatever their number. Of groups that lead with a label and are alike in their counts
+    two folds differ by one at most; of all documents in groups that lead with a label by the largest such group.
     """
-    from pyspark.sql import Window as W
-
     per = docs.where(F.col(group).isNotNull() & F.col(label).isNotNull()).groupBy(group, label).agg(F.count("*").alias("n"))
-    lead = per.groupBy(group).agg(F.max_by(label, F.struct("n", label)).alias("lead"), F.sum("n").alias("size"))
-    top = lead.where("size > 1").orderBy(F.desc("size"), F.xxhash64(F.lit(seed), group), group).limit(largest)
-    counts = per.join(top.select(group, "size"), group).select(group, label, "n", "size").collect()
-    held: dict[str, np.ndarray] = {}
-    total = np.zeros(folds)
-    by: dict[object, list] = {}
-    for r in counts:
-        by.setdefault((-r["size"], r[group]), []).append((r[label], r["n"]))
-    placed = []
-    for (_, g), labels in sorted(by.items(), key=lambda x: (x[0][0], str(x[0][1]))):
-        cost = [sum(held.setdefault(lab, np.zeros(folds))[f] * n for lab, n in labels) + 1e-6 * total[f] for f in range(folds)]
-        f = int(np.argmin(cost))
-        for lab, n in labels:
-            held[lab][f] += n
-            total[f] += n
-        placed.append((g, f))
-    spark = docs.sparkSession
-    kind = docs.schema[group].dataType.simpleString()
-    big = spark.createDataFrame(placed, f"{group} {kind}, fold int")
-    rest = lead.join(big.select(group), group, "left_anti").withColumn("h", F.xxhash64(F.lit(seed), group)).withColumn("bucket", F.pmod("h", F.lit(1024)))
-    turn = F.row_number().over(W.partitionBy("lead", "size", "bucket").orderBy("h", group)) - 1
-    start = F.pmod(F.xxhash64("lead", "size", "bucket"), F.lit(folds))
-    return big.union(rest.select(group, F.pmod(turn + start, F.lit(folds)).cast("int").alias("fold")))
+    counts = F.sort_array(F.collect_list(F.struct(label, "n"))).cast("string")
+    lead = per.groupBy(group).agg(F.max_by(label, F.struct("n", label)).alias("_lead"), F.sum("n").alias("_size"), counts.alias("_counts"))
+    lead = lead.withColumn("_h", F.xxhash64(F.lit(seed), group))
+    ranked = dense_index(lead, [F.col("_lead"), F.desc("_size"), F.col("_counts"), F.col("_h"), F.col(group)], "_rank")
+    return ranked.select(group, F.pmod("_rank", F.lit(folds)).cast("int").alias("fold"))

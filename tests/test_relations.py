@@ -89,6 +89,16 @@ def test_grouped_splits_and_folds(spark):
         assert all(0.6 * n / 5 < r["count"] < 1.4 * n / 5 for r in per if r["label"] == lab), per
 
 
+def test_folds_spread_rare_labels(spark):
+    docs = [(f"{lab}s{i}", f"L{lab:02}") for lab in range(40) for i in range(10)]
+    docs += [(f"{lab}p{i}", f"L{lab:02}") for lab in range(40) for i in range(5) for _ in range(3)]
+    df = spark.createDataFrame(docs, "group_id string, label string")
+    folds = grouping.stratified_folds(df)
+    per = {(r["label"], r["fold"]): r["count"] for r in df.join(folds, "group_id").groupBy("label", "fold").count().collect()}
+    assert per == {(f"L{lab:02}", f): 5 for lab in range(40) for f in range(5)}
+    assert rows(folds) == rows(grouping.stratified_folds(df.repartition(7)))
+
+
 def test_tasks(spark):
     p = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "c"), ("b", None)], "y string, pred string")
     assert abs(tasks.macro_f1(p, []).first()[0] - (2 / 3 + 0 + 0) / 3) < 1e-12
