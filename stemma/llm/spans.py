@@ -142,6 +142,10 @@ class _Collapse:
         self.done.clear()
 
 
+#: Marks a window that two documents have; equal to no key.
+SEVERAL = object()
+
+
 def settle(rows: list[tuple[str, int, list[int], bool]], span: int) -> Iterator[tuple[int, int, int]]:
     """Shared stretches of the contexts of one anchor, each row a context, its document, its places and whether it is settled."""
     docs: dict[str, set] = {}
@@ -156,19 +160,19 @@ def settle(rows: list[tuple[str, int, list[int], bool]], span: int) -> Iterator[
                 for s in starts:
                     yield doc, s, s + len(context)
         return
-    holder: dict[str, object] = {}  # of each window its document, or False once there are two
+    holder: dict[str, object] = {}  # of each window its document, or SEVERAL once there are two
     for context, who in docs.items():
-        one = next(iter(who)) if len(who) == 1 else False
+        one = next(iter(who)) if len(who) == 1 else SEVERAL
         for o in range(len(context) - span + 1):
             w = context[o : o + span]
             if holder.setdefault(w, one) != one:
-                holder[w] = False
+                holder[w] = SEVERAL
     for context, doc, starts, _ in rows:
         if not starts:
             continue
         first = None
         for o in range(len(context) - span + 2):
-            shared = o <= len(context) - span and holder[context[o : o + span]] is False
+            shared = o <= len(context) - span and holder[context[o : o + span]] is SEVERAL
             if shared and first is None:
                 first = o
             elif not shared and first is not None:

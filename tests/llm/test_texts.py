@@ -277,6 +277,14 @@ def test_leaks_of_short_runs(spark):
     assert got == [(i, i, steps[i] - 1, 2 * 300 - 3 * changed[i] + (300 % steps[i] == 0)) for i in range(3)]
 
 
+def test_settle_document_zero():
+    window = "abcd"
+    for other in (0, 3):
+        contexts = [("x" + window, other, [10], False), (window + "y", 1, [20], False), (window + "y", 2, [30], False)]
+        for order in (contexts, contexts[::-1]):
+            assert sorted(set(spans.settle(order, 4))) == sorted([(other, 11, 15), (1, 20, 25), (2, 30, 35)]), (other, order)
+
+
 def test_alignment():
     a = lambda s: np.frombuffer(s.encode("utf-32-le"), np.uint32)
 
