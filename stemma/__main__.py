@@ -26,9 +26,10 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--seeds", type=int, nargs="*", default=list(TEST_SEEDS))
     ap.add_argument("--variant", default="base", choices=tuple(degrade.VARIANTS))
     ap.add_argument("--lost-lines", type=float, default=0)
-    ap.add_argument("--limit", type=int)
+    ap.add_argument("--limit", type=int, help="units of the smallest hashes of each split (experiment) or of the searched split (search)")
+    ap.add_argument("--checkpoint", help="folder that all executors share, for intermediate tables")
     a = ap.parse_args(argv)
-    spark = pipeline.default_session()
+    spark = pipeline.default_session(a.checkpoint)
     if a.step == "corpus":
         docs = pipeline.build_corpus(readers.read_editions(spark, a.data), readers.read_dates(spark, a.data), readers.read_labels(spark, a.labels) if a.labels else None)
         sinks.write_corpus(pipeline.split_corpus(docs), f"{a.out}/corpus")
@@ -56,7 +57,7 @@ def main(argv: list[str] | None = None) -> None:
     if a.step == "queries":
         queries.groupBy("set").count().show()
         return
-    curve = pipeline.search_curve(docs, spark.read.json(f"{a.out}/queries"), tuple(c for c in a.cers if c <= 50), a.seeds[0])
+    curve = pipeline.search_curve(docs, spark.read.json(f"{a.out}/queries"), tuple(c for c in a.cers if c <= 50), a.seeds[0], limit=a.limit)
     sinks.write_curve(curve, f"{a.out}/search_curve")
     curve.show()
 

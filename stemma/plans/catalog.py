@@ -367,11 +367,23 @@ def lost_lines(spark, sf):
     return _docs(spark, sf).select("doc_id", T.joined(degrade.kept_lines("lines", 20, "doc_id", F.lit("20"), F.lit("7"))).alias("text"))
 
 
-def _budget_sql(c: float, seed: int, variant: str) -> str:
-    return f"""d AS (SELECT doc_id, lines, length(regexp_replace(array_to_string(lines, ''), '[^{_GREEK}]', '', 'g')) AS n FROM {_D}),
+def _kept_sql(p: float, seed: int) -> str:
+    """Table ``kept``: documents without the lines that are lost at ``p`` percent."""
+    if not p:
+        return f"kept AS (SELECT doc_id, lines FROM {_D})"
+    return f"""l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM {_D}),
+ h AS (SELECT *, regexp_matches(line, '[{_GREEK}]') AS has FROM l),
+ o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, has ORDER BY sha256(doc_id || '|{p:g}|{seed}|' || i)) AS rk, count(*) FILTER (has) OVER (PARTITION BY doc_id) AS m FROM h),
+ kept AS (SELECT d.doc_id, coalesce(list(line ORDER BY i) FILTER (line IS NOT NULL AND (NOT has OR rk > least(round_even({p:.1f} / 100 * m, 0)::INT, m - 1))), []) AS lines FROM {_D} d LEFT JOIN o USING (doc_id) GROUP BY 1)"""
+
+
+def _budget_sql(c: float, seed: int, variant: str, p: float = 0) -> str:
+    cap = "n" if variant == "bursty" else "(n + 1) // 2"
+    return f"""{_kept_sql(p, seed)},
+ d AS (SELECT doc_id, lines, length(regexp_replace(array_to_string(lines, ''), '[^{_GREEK}]', '', 'g')) AS n FROM kept),
  b AS (SELECT round_even({c:.1f} / 100 * sum(n), 0)::BIGINT AS total, sum(n) AS s FROM d),
  x AS (SELECT doc_id, lines, n, total, total::DOUBLE * n / s AS exact, floor(total::DOUBLE * n / s) AS whole FROM d, b),
- r AS (SELECT *, total - sum(whole) OVER () AS left_, row_number() OVER (ORDER BY CASE WHEN n > 0 AND (n + 1) // 2 > whole THEN exact - whole ELSE -1 END DESC, sha256('{c:g}|{seed}|{variant}|' || doc_id)) AS rk FROM x),
+ r AS (SELECT *, total - sum(whole) OVER () AS left_, row_number() OVER (ORDER BY CASE WHEN n > 0 AND {cap} > whole THEN exact - whole ELSE -1 END DESC, sha256('{c:g}|{seed}|{variant}|' || doc_id)) AS rk FROM x),
  k AS (SELECT doc_id, lines, n, (whole + CASE WHEN rk <= left_ THEN 1 ELSE 0 END)::BIGINT AS k FROM r)"""
 
 
@@ -380,25 +392,51 @@ def cer_budget(spark, sf):
     return degrade.budget(_docs(spark, sf), 10, 1).select("doc_id", "letters", "k")
 
 
-@query()
+def _damage(spark, sf, c, seed, variant="base", p=0.0):
+    """Degraded texts held against the clean ones: ``distance`` of the letters by the built-in function, ``rest`` (all that is no letter),
+    ``as_named``: whether the edits that the operator names turn the clean text into its own, ``subs``: whether all are substitutions."""
+    docs = _docs(spark, sf)
+    clean = docs.select("doc_id", T.joined(degrade.kept_lines("lines", p, "doc_id", F.lit(degrade.level(p)), F.lit(str(seed)))).alias("clean"))
+    got = degrade.degrade(docs, c, seed, variant, p).join(clean, "doc_id").withColumn("text", T.joined("lines"))
+    only = lambda x: F.regexp_replace(x, f"[^{_GREEK}]+", "")
+    edit = F.aggregate("edits", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), lambda acc, e: F.struct(
+        F.concat(acc["out"], F.substring(F.col("clean"), acc["at"] + 1, e["at"] - acc["at"]), e["letter"], F.when(e["op"] == 1, F.substring(F.col("clean"), e["at"] + 1, F.lit(1))).otherwise("")).alias("out"), (e["at"] + 1).alias("at")))
+    again = F.concat(edit["out"], F.substring(F.col("clean"), edit["at"] + 1, F.length("clean")))
+    kinds = F.array_distinct(F.transform("edits", lambda e: e["op"]))
+    return got.select("doc_id", "letters", "k", F.levenshtein(only("clean"), only("text")).cast("long").alias("distance"), F.regexp_replace("text", f"[{_GREEK}]+", "").alias("rest"),
+                      (again == F.col("text")).alias("as_named"), "exact", (F.size(F.array_except(kinds, F.array(F.lit(0)))) == 0).alias("subs"))
+
+
+def _damage_sql(c, seed, variant="base", p=0.0):
+    return f"WITH {_budget_sql(c, seed, variant, p)} SELECT doc_id, n AS letters, k, k AS distance, regexp_replace(array_to_string(lines, chr(10)), '[{_GREEK}]', '', 'g') AS rest, true AS as_named, true AS exact FROM k"
+
+
+# In the next five the SQL gives what must hold of any draw: the edits of each text, their distance, and all that they must not touch.
+
+
+@query(_damage_sql(10, 1))
 def degraded_texts(spark, sf):
-    return degrade.degrade(_docs(spark, sf), 10, 1).select("doc_id", T.joined("lines").alias("text"), "k", "letters", "exact")
+    return _damage(spark, sf, 10, 1).drop("subs")
 
 
-@query(f"""WITH {_budget_sql(10, 1, 'sub_only')},
- slot AS (SELECT doc_id, i, k, row_number() OVER (PARTITION BY doc_id ORDER BY sha256('10|1|' || doc_id || '|' || i)) AS rk FROM k, LATERAL (SELECT unnest(range(n - k + 1)) AS i) WHERE k > 0),
- chosen AS (SELECT doc_id, i + row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS o FROM slot WHERE rk <= k),
- c AS (SELECT doc_id, unnest(string_split(array_to_string(lines, chr(10)), '')) AS c, unnest(range(length(array_to_string(lines, chr(10))))) AS p FROM k WHERE length(array_to_string(lines, chr(10))) > 0),
- o AS (SELECT *, CASE WHEN contains('{_GREEK}', c) THEN count(*) FILTER (contains('{_GREEK}', c)) OVER (PARTITION BY doc_id ORDER BY p) - 1 END AS o FROM c),
- e AS (SELECT o.doc_id, p, CASE WHEN chosen.o IS NULL THEN c ELSE substr('{_GREEK}', (strpos('{_GREEK}', c) + floor({_unit("'10|1|' || o.doc_id || '|new|' || p")} * 26)::INT) % 27 + 1, 1) END AS c FROM o LEFT JOIN chosen ON chosen.doc_id = o.doc_id AND chosen.o = o.o)
-SELECT k.doc_id, coalesce(string_agg(c, '' ORDER BY p), '') AS text, any_value(k) AS k FROM k LEFT JOIN e ON e.doc_id = k.doc_id GROUP BY 1""")
+@query(_damage_sql(20, 2, "bursty", 10))
+def bursty_texts(spark, sf):
+    return _damage(spark, sf, 20, 2, "bursty", 10).drop("subs")
+
+
+@query(_damage_sql(10, 1, "sub_only").replace("true AS exact", "true AS exact, true AS subs"))
 def substituted_texts(spark, sf):
-    return degrade.substitute(_docs(spark, sf), 10, 1)
+    return _damage(spark, sf, 10, 1, "sub_only")
 
 
-@query()
-def bursty_texts(spark, sf):
-    return degrade.degrade(_docs(spark, sf), 20, 2, "bursty", 10).select("doc_id", T.joined("lines").alias("text"), "k", "letters", "exact")
+@query(_damage_sql(15, 3, "uniform"))
+def uniform_texts(spark, sf):
+    return _damage(spark, sf, 15, 3, "uniform").drop("subs")
+
+
+@query(_damage_sql(5, 1, "uneven", 20))
+def uneven_texts(spark, sf):
+    return _damage(spark, sf, 5, 1, "uneven", 20).drop("subs")
 
 
 _N_SYN = 10

@@ -3,7 +3,8 @@
 Iterative operators write their state as Parquet tables into the folder that the
 cluster names in ``spark.checkpoint.dir`` and read it back. Such a table survives the
 loss of an executor, is compressed, and gives the planner true sizes. Only where the
-setting is absent (tests, notebooks) a folder of our own is made.
+setting is absent and the master is local (tests, notebooks) a folder of our own is made;
+on a cluster without the setting operators that need a folder end with an error.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append("file://" + tempfile.mkdtemp(prefix="stemma-"))
     return _LOCAL[0]
