@@ -40,6 +40,10 @@ def p3_report(spark: SparkSession, sf: str) -> DataFrame:
     return overlap.overlap_report(corpus, overlap.cross_split_overlaps(corpus)).select("split", "source", "pairs", "documents")
 
 
+def p3_cover(spark: SparkSession, sf: str) -> DataFrame:
+    return overlap.split_coverage(table(spark, sf, "corpus"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return distinctive.distinctive_terms(table(spark, sf, "corpus"), min_count=3).where("df between 2 and 5").select("doc_id", "term")
 
@@ -64,7 +68,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return spans.shared_spans(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p3_found, p3_report, p4_found, p5_sample, p7_found, p8_ids, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p3_found, p3_report, p3_cover, p4_found, p5_sample, p7_found, p8_ids, p9_found, p10_found)}
 
 _TEXTS = """docs AS (SELECT DISTINCT doc_id, lower(trim(split, ' ' || chr(9))) AS split, replace(array_to_string(lines, ''), '▯', '') AS t FROM corpus),
  sh AS (SELECT DISTINCT doc_id, substr(t, i::BIGINT, 5) AS s FROM docs, LATERAL (SELECT unnest(range(1, length(t) - 3)) AS i) WHERE length(t) >= 20),
@@ -91,6 +95,13 @@ WHERE (x.split = 'train' AND y.split IN ('val', 'test')) OR (y.split = 'train' A
  p AS (SELECT a AS t, b AS h FROM alike UNION ALL SELECT b, a FROM alike)
 SELECT y.split, y.source, count(*)::BIGINT AS pairs, count(DISTINCT h) AS documents FROM p JOIN s x ON x.doc_id = t JOIN s y ON y.doc_id = h
 WHERE x.split = 'train' AND y.split IN ('val', 'test') GROUP BY 1, 2""",
+    "p3_cover": """WITH docs AS (SELECT DISTINCT doc_id, CASE lower(trim(split, ' ' || chr(9))) WHEN 'train' THEN 0 WHEN 'val' THEN 1 WHEN 'test' THEN 1 END AS side, replace(array_to_string(lines, ''), '▯', '') AS t FROM corpus),
+ used AS (SELECT * FROM docs WHERE side IS NOT NULL AND length(t) >= 20),
+ g AS (SELECT doc_id, side, i, substr(t, i::BIGINT, 5) AS s FROM used, LATERAL (SELECT unnest(range(1, length(t) - 3)) AS i)),
+ o AS (SELECT DISTINCT side, s FROM g),
+ c AS (SELECT DISTINCT g.doc_id, g.i + j AS p FROM g JOIN o ON o.s = g.s AND o.side <> g.side, LATERAL (SELECT unnest(range(5)) AS j)),
+ n AS (SELECT doc_id, count(*) AS covered FROM c GROUP BY 1)
+SELECT doc_id, side::INT AS split_side, length(t)::BIGINT AS letters, coalesce(covered, 0)::BIGINT AS covered FROM used LEFT JOIN n USING (doc_id)""",
     "p4_found": """WITH docs AS (SELECT DISTINCT doc_id, lines FROM corpus), l AS (SELECT doc_id, unnest(lines) AS line FROM docs),
  t AS (SELECT doc_id, substr(line, i::BIGINT, 6) AS term FROM l, LATERAL (SELECT unnest(range(1, length(line) - 4)) AS i)),
  tf AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE NOT contains(term, '▯') GROUP BY 1, 2),

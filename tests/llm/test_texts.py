@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from stemma.llm import arrays, distinctive, leakage, near, overlap, shingles, spans
+from stemma.llm import arrays, distinctive, leakage, near, overlap, shingles, spans, suffixes
 
 from ..conftest import rows
 from ..test_relations import union_find
@@ -148,10 +148,58 @@ def test_parity_never_overestimates(a, b):
     assert int(np.bitwise_count(p[0] ^ p[1]).sum()) <= len(a ^ b)
 
 
-def test_suffixes():
-    p = np.frombuffer("αβγδεζηαβγδεθ".encode("utf-32-le"), np.uint32)
-    s = [overlap.suffix_words(p, np.array([0, 7]), np.array([13, 13]), w) for w in (0, 1)]
-    assert overlap.common_prefix(s[0][:1], s[1][:1], s[0][1:], s[1][1:])[0] == 5
+@pytest.mark.parametrize("letters", ["αβγ", GREEK, "".join(map(chr, range(0x4E00, 0x4E00 + 5000)))])
+def test_suffix_array(letters):
+    """Both sides sorted together: the nearest of the other side gives the longest prefix. Sorted side by side, few would be neighbours."""
+    r = random.Random(4)
+    texts = [word(r, r.randrange(0, 60), letters) for _ in range(12)]
+    texts += [edited(r, t, 2) for t in texts if t] + ["αβγ" * 9, "αβγ" * 5, texts[0]]
+    sides = np.array([r.randrange(1, 4) if i > 3 else 1 + i % 2 for i in range(len(texts))])
+    alphabet = suffixes.Alphabet(np.array([ord(c) for t in [*texts, letters] for c in t], np.uint32))
+    b = suffixes.Block(texts, alphabet)
+    mask = overlap._of_entries(b, sides)
+    spans = suffixes.cross_neighbours(b.keys, mask, alphabet)[b.entry].astype(int)
+    base = np.cumsum(b.size) - b.size
+    seen, got = set(), suffixes.covered(b, len(texts), spans[:, 0])
+    for p, row, span in zip(b.pos, b.row[b.pos], spans):
+        at = p - base[row]
+        seen.add((row, at))
+        for s in (0, 1):
+            want = 0
+            if sides[row] >> s & 1:
+                own = texts[row][at : at + suffixes.DEPTH]
+                of = [t for t, x in zip(texts, sides) if x >> (1 - s) & 1]
+                want = max((n for n in range(5, len(own) + 1) if any(own[:n] in t for t in of)), default=0)
+            assert span[s] == want
+    assert seen == {(i, j) for i, t in enumerate(texts) for j in range(len(t) - 4)}
+    for i, t in enumerate(texts):
+        others = "\n".join(x for x, s in zip(texts, sides) if s & 2)
+        assert not sides[i] & 1 or got[i] == len({j + k for j in range(len(t) - 4) if t[j : j + 5] in others for k in range(5)})
+    text, shingle = b.pairs()
+    assert len(text) == sum(len({t[j : j + 5] for j in range(len(t) - 4)}) for t in texts)
+    assert len(np.unique(b.codes(alphabet))) == len(b.shingle_start)
+    keys, more = suffixes.unpack_keys(suffixes.pack_keys(b.keys, mask), alphabet.words, np.uint8)
+    assert (keys == b.keys).all() and (more[0] == mask).all()
+
+
+@pytest.mark.parametrize("block", [1_000_000, 500])
+def test_coverage(spark, monkeypatch, block):
+    monkeypatch.setattr(overlap, "LETTERS", block)
+    docs = editions(spark, 6)
+    last = {}
+    for r in docs.where("doc_id is not null").collect():
+        last[r["doc_id"]] = max(last.get(r["doc_id"], ("",)), (r["loaded_at"] or "", "".join(x or "" for x in r["lines"] or []).replace("▯", ""), (r["split"] or "").strip(" \t").lower()))
+    side = {d: {"train": 0, "val": 1, "test": 1}[s] for d, (_, t, s) in last.items() if s in ("train", "val", "test") and len(t) >= 20}
+    grams = [{last[d][1][i : i + 5] for d, x in side.items() if x == s for i in range(len(last[d][1]) - 4)} for s in (0, 1)]
+    want = []
+    for d, s in side.items():
+        t = last[d][1]
+        want.append((d, s, len(t), len({i + k for i in range(len(t) - 4) if t[i : i + 5] in grams[1 - s] for k in range(5)})))
+    assert rows(overlap.split_coverage(docs), "doc_id", "split_side", "letters", "covered") == sorted(want, key=repr)
+    assert rows(overlap.split_coverage(docs.limit(0))) == []
+
+
+def test_merged():
     assert overlap.merged([(0, 5), (3, 8), (10, 12)]) == 10 and overlap.coverage("αβγδεζ", "xαβγδεx") == 5
 
 
