@@ -165,12 +165,10 @@ def test_suffix_array(letters):
         at = p - base[row]
         seen.add((row, at))
         for s in (0, 1):
-            want = 0
             if sides[row] >> s & 1:
                 own = texts[row][at : at + suffixes.DEPTH]
                 of = [t for t, x in zip(texts, sides) if x >> (1 - s) & 1]
-                want = max((n for n in range(5, len(own) + 1) if any(own[:n] in t for t in of)), default=0)
-            assert span[s] == want
+                assert span[s] == max((n for n in range(5, len(own) + 1) if any(own[:n] in t for t in of)), default=0)
     assert seen == {(i, j) for i, t in enumerate(texts) for j in range(len(t) - 4)}
     for i, t in enumerate(texts):
         others = "\n".join(x for x, s in zip(texts, sides) if s & 2)
