@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import blocks, flat, inside, mix
+from .sketch import merged, sized
 
-BITS = 1 << 24
+#: Most bits of the field of marked terms (32 MB).
+MOST_BITS = 1 << 28
 
 
 def _hash(points: np.ndarray, k: int) -> np.ndarray:
@@ -36,7 +36,7 @@ def term_counts(texts: list[str], k: int, barriers: str, least: int, wanted: np.
     ok &= bad[k:] == bad[:-k]
     if wanted is not None:
         h = _hash(points, k)
-        ok &= (wanted[(h >> np.uint64(3)) % np.uint64(BITS // 8)] >> (h & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        ok &= (wanted[(h >> np.uint64(3)) % np.uint64(len(wanted))] >> (h & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
     pos = np.flatnonzero(ok)
     if not len(pos):
         return none
@@ -72,7 +72,7 @@ def distinctive_terms(docs: DataFrame, lines: str = "lines", k: int = 6, barrier
 
     ``min_count`` only chooses the rows that are returned, tf at least that; counts always
     cover all documents. Since then only terms matter that some document has that often, a
-    first pass marks these in a bit field of fixed size (2 MB), and the second sends on the counts
+    first pass marks these in a bit field sized by the letters (32 MB at most), and the second sends on the counts
     of marked terms alone. A term marked by chance falls out at the end; none is lost.
 
     Of a document delivered more than once each term has the largest of its counts, so repeated
@@ -90,31 +90,21 @@ def distinctive_terms(docs: DataFrame, lines: str = "lines", k: int = 6, barrier
             for a, b in blocks(np.fromiter(map(len, t), np.int64, len(t))):
                 yield ids[a:b], t[a:b]
 
-    def mark(batches):
-        field = np.zeros(BITS // 8, np.uint8)
-        for _, t in parts(batches):
-            _, term, _ = term_counts(t, k, barriers, min_count)
-            if len(term):
-                h = _hash(np.ascontiguousarray(term).view(np.uint32), k)[::k]
-                np.bitwise_or.at(field, ((h >> np.uint64(3)) % np.uint64(BITS // 8)).astype(np.int64), np.uint8(1) << (h & np.uint64(7)).astype(np.uint8))
-        if field.any():
-            yield pa.record_batch([pa.array([0], pa.int32()), pa.array([zlib.compress(field.tobytes(), 1)], pa.binary())], ["one", "field"])
-
-    def either(batches):
-        field = np.zeros(BITS // 8, np.uint8)
-        for batch in batches:
-            for blob in batch.column("field").to_pylist():
-                field |= np.frombuffer(zlib.decompress(blob), np.uint8)
-        yield pa.record_batch([pa.array([0], pa.int32()), pa.array([zlib.compress(field.tobytes(), 1)], pa.binary())], ["one", "field"])
-
     wanted = None
     if min_count > 1:
-        field = np.zeros(BITS // 8, np.uint8)
-        marks = texts.select("doc_id", "text").mapInArrow(mark, "one int, field binary")
-        # merged in a few tasks first, so that the driver gets at most eight fields of fixed size
-        for r in marks.repartition(8).mapInArrow(either, "one int, field binary").collect():
-            field |= np.frombuffer(zlib.decompress(r["field"]), np.uint8)
-        wanted = spark.sparkContext.broadcast(field)
+        letters = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+        size = sized(letters // min_count, 1 << 16, MOST_BITS) // 8  # no more terms can be marked than have room, however often they stand
+
+        def mark(batches):
+            field = np.zeros(size, np.uint8)
+            for _, t in parts(batches):
+                _, term, _ = term_counts(t, k, barriers, min_count)
+                if len(term):
+                    h = _hash(np.ascontiguousarray(term).view(np.uint32), k)[::k]
+                    np.bitwise_or.at(field, ((h >> np.uint64(3)) % np.uint64(size)).astype(np.int64), np.uint8(1) << (h & np.uint64(7)).astype(np.uint8))
+            return field
+
+        wanted = spark.sparkContext.broadcast(merged(texts.select("doc_id", "text"), mark, size, np.uint8, np.bitwise_or))
 
     def count(batches):
         for ids, t in parts(batches):

@@ -20,7 +20,8 @@ def stable_sample(docs: DataFrame, rate: float, salt: str = SALT, group: str = "
     ``doc_id``; it is hashed with a fixed salt, and values below ``rate`` are in, so documents of a
     number stay together and the documents at a lower rate are among those at a higher one.
     The first delivery decides (ties: the smallest number, null first; without a time last), hence
-    later or repeated deliveries remove nobody. Null ids are left out; rate 0 takes none, 1 all.
+    later or repeated deliveries remove nobody. A delivery without a time can't be told from a later one: a dated one with
+    another number, coming after it, counts as the first. Null ids are left out; rate 0 takes none, 1 all.
     """
     at = F.coalesce(F.col("loaded_at").cast("timestamp"), F.lit("9999-12-31").cast("timestamp")) if "loaded_at" in docs.columns else F.lit(0)
     first = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(at.alias("at"), F.col(group).alias("group"))).alias("x")).select("doc_id", F.col("x.group").alias(group))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,10 +12,11 @@ from pyspark.sql import functions as F
 
 from ..session import Stage
 from .arrays import blocks, flat, mix, rolling
+from .sketch import merged, saturating, sized
 
-#: Characters of an anchor; counters of a row of the sketch, rows, and slices that merge apart.
+#: Characters of an anchor; most counters of a row of the sketch, and rows.
 ANCHOR = 64
-WIDTH, DEPTH, SLICES = 1 << 22, 2, 16
+WIDEST, DEPTH = 1 << 25, 2
 #: Contexts of one anchor above which it is resolved window by window.
 HOT = 5_000
 
@@ -25,8 +25,8 @@ def anchors(texts: list[str], span: int, k: int) -> tuple[np.ndarray, np.ndarray
     """Row, position in the text and hash of the anchors.
 
     Of the ``span - k + 1`` windows of ``k`` characters inside each stretch of ``span`` characters the one
-    with the smallest hash (the leftmost of equals) is an anchor. Equal stretches hold equal
-    anchors, in whatever text they stand, and every stretch holds at least one.
+    with the smallest hash (all 64 bits; the leftmost of equals) is an anchor. Equal stretches hold equal
+    anchors, in whatever text and block of texts they stand, and every stretch holds at least one.
     """
     points, row, ends = flat(texts)
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -34,26 +34,28 @@ def anchors(texts: list[str], span: int, k: int) -> tuple[np.ndarray, np.ndarray
         return none
     h = rolling(points, k)
     w = span - k + 1
-    shift = np.uint64(max(1, int(len(h)).bit_length()))
-    key = (h >> shift << shift) | np.arange(len(h), dtype=np.uint64)
-    pad = np.full(-(-len(key) // w) * w + w, np.uint64(0xFFFFFFFFFFFFFFFF))
-    pad[: len(key)] = key
-    grid = pad.reshape(-1, w)
-    ahead = np.minimum.accumulate(grid, axis=1).ravel()
-    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    at = np.arange(-(-len(h) // w) * w + w)
+    pad = np.full(len(at), np.uint64(0xFFFFFFFFFFFFFFFF))
+    pad[: len(h)] = h
+    grid, place = pad.reshape(-1, w), at.reshape(-1, w)
+    ahead = np.minimum.accumulate(grid, axis=1)
+    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1]
+    falls = np.c_[np.ones(len(grid), bool), ahead[:, 1:] < ahead[:, :-1]]
+    first = np.maximum.accumulate(np.where(falls, place, 0), axis=1).ravel()  # where the least so far stands, and where the least to come, leftmost
+    next_ = np.minimum.accumulate(np.where(grid == behind, place, len(at))[:, ::-1], axis=1)[:, ::-1].ravel()
+    ahead, behind = ahead.ravel(), behind.ravel()
     m = len(points) - span + 1
-    best = np.minimum(behind[:m], ahead[w - 1 : w - 1 + m])
-    start = np.arange(m)
-    best = best[start + span <= ends[row[:m]]]
+    best = np.where(behind[:m] <= ahead[w - 1 : w - 1 + m], next_[:m], first[w - 1 : w - 1 + m])
+    best = best[np.arange(m) + span <= ends[row[:m]]]
     if not len(best):
         return none
-    at = np.unique((best & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64))
+    at = np.unique(best)
     begins = ends - np.bincount(row, minlength=len(texts))
     return row[at], at - begins[row[at]], h[at]
 
 
-def cells(h: np.ndarray) -> list[np.ndarray]:
-    return [(mix(h ^ np.uint64(0x5BD1E995 * (d + 1))) % np.uint64(WIDTH)).astype(np.int64) + d * WIDTH for d in range(DEPTH)]
+def cells(h: np.ndarray, width: int) -> list[np.ndarray]:
+    return [(mix(h ^ np.uint64(0x5BD1E995 * (d + 1))) % np.uint64(width)).astype(np.int64) + d * width for d in range(DEPTH)]
 
 
 def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
@@ -66,34 +68,28 @@ def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]
 def count_min(rows: DataFrame, span: int, k: int) -> np.ndarray:
     """For each cell the number of documents with an anchor there, up to 255.
 
-    Each task fills a sketch of fixed size; the sketches are merged slice by slice in as many
-    tasks, and the sum, 8 MB whatever the collection, goes to all tasks. It may overestimate.
+    A row has at least two cells for each anchor to be expected, up to ``WIDEST``: 64 MB at most that go to all tasks.
+    It may overestimate; where it is full, all anchors go on to the exact grouping.
     """
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    width = sized(4 * chars // (span - k + 2), 1 << 16, WIDEST)
 
     def fill(batches):
-        s = np.zeros(WIDTH * DEPTH, np.uint8)
+        s = np.zeros(width * DEPTH, np.uint8)
         for _, texts in _parts(batches):
             row, _, h = anchors(texts, span, k)
             pairs = np.unique(np.stack([row.astype(np.uint64), h], 1), axis=0)[:, 1] if len(h) else h
-            for c in cells(pairs):
+            for c in cells(pairs, width):
                 at, n = np.unique(c, return_counts=True)
                 s[at] = np.minimum(s[at].astype(np.int64) + n, 255)
-        if s.any():
-            yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(s, SLICES)], pa.binary())], ["slice", "counts"])
+        return s
+
+    return merged(rows, fill, width * DEPTH, np.uint8, saturating)
 
-    def merge(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, blob in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
-                x = np.frombuffer(zlib.decompress(blob), np.uint8)
-                sums[i] = np.minimum(sums[i].astype(np.int16) + x, 255).astype(np.uint8) if i in sums else x
-        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], ["slice", "counts"])
 
-    schema = "slice int, counts binary"
-    s = np.zeros((SLICES, WIDTH * DEPTH // SLICES), np.uint8)
-    for r in rows.mapInArrow(fill, schema).repartition(SLICES, "slice").mapInArrow(merge, schema).collect():
-        s[r["slice"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
-    return s.ravel()
+def fill_ratio(sketch: np.ndarray) -> float:
+    """Share of the cells that are in use; near 1 the sketch rules nothing out."""
+    return float(np.count_nonzero(sketch)) / len(sketch)
 
 
 _CONTEXT = "key long, context string, id long, starts array<int>, met boolean"
@@ -209,7 +205,7 @@ def shared_spans(docs: DataFrame, span: int = 200, text: str = "text", key: str
     ``key``, ``span_start``, ``span_end`` (from 0, end exclusive, in code points).
 
     1. Every stretch of ``span`` characters holds an anchor that only its content decides. A count-min
-       sketch of fixed size takes the anchors of all documents.
+       sketch, sized by the characters of all texts, takes the anchors of all documents.
     2. Anchors that the sketch estimates at two documents or more are grouped exactly, by hash
        alone (24 bytes each); those in two documents remain. However full the sketch is, this loses none.
     3. Of the remaining anchors the surrounding ``2 span - anchor`` characters are compared as text;
@@ -229,7 +225,7 @@ def shared_spans(docs: DataFrame, span: int = 200, text: str = "text", key: str
         for ids, texts in _parts(batches):
             row, pos, h = anchors(texts, span, anchor)
             often = np.ones(len(h), bool)
-            for c in cells(h):
+            for c in cells(h, len(s) // DEPTH):
                 often &= s[c] > 1
             yield pa.record_batch([h[often].view(np.int64), np.array(ids, np.int64)[row[often]], pos[often].astype(np.int32)], ["key", "id", "pos"])
 

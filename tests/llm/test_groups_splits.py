@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -61,6 +62,18 @@ def test_subset_sum():
         assert abs(got - target) == min(abs(t - target) for t in sums), (sizes, target)
 
 
+def test_subset_sum_of_many_records():
+    began = time.time()
+    sizes = {s: max(1, 10**9 // (3 * s**2)) for s in range(1, 30_000)} | {2_000_000: 3, 90_000_000: 2}
+    n = sum(s * k for s, k in sizes.items())
+    plan = splits.choose(sizes, splits.SHARES)
+    for name, share in splits.SHARES.items():
+        assert abs(sum(s * k for s, k in plan[name].items()) - share * n) <= 1
+        assert all(0 <= k for k in plan[name].values())
+    assert all(sum(p.get(s, 0) for p in plan.values()) == k for s, k in sizes.items())
+    assert n > 10**9 and time.time() - began < 20
+
+
 def test_grouped_split(spark):
     data = [(f"d{i:04}", None if i % 9 == 0 else (1 if i < 250 else i // 3), f"s{i // 7}" if i % 5 == 0 else None) for i in range(1000)]
     docs = spark.createDataFrame([*data, data[5], (None, 1, "s")], "doc_id string, author long, source string").withColumn("split", F.lit("old"))

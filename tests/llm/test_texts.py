@@ -273,11 +273,27 @@ def test_spans(spark, monkeypatch, seed, hot):
 def test_spans_empty_and_full_sketch(spark, monkeypatch):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert rows(spans.shared_spans(df)) == []
-    monkeypatch.setattr(spans, "count_min", lambda *a: np.full(spans.WIDTH * spans.DEPTH, 255, np.uint8))
+    full = np.full((1 << 16) * spans.DEPTH, 255, np.uint8)
+    monkeypatch.setattr(spans, "count_min", lambda *a: full)
+    assert spans.fill_ratio(full) == 1.0
     docs = running_texts(4)
     assert rows(spans.shared_spans(spark.createDataFrame(docs, "doc_id long, text string"), 60, anchor=20)) == brute_spans(docs, 60)
 
 
+def test_anchors_hang_on_the_stretch_alone():
+    r = random.Random(8)
+    stretch = "".join(r.choice("ab") * r.randrange(1, 9) for _ in range(60))[:200]
+    for k, span in ((4, 12), (8, 40), (64, 200)):
+        for before, others in ((0, 0), (7, 2), (150, 900), (33, 9000)):
+            texts = [word(r, others), word(r, before) + stretch + word(r, 50), word(r, others)]
+            row, pos, h = spans.anchors(texts, span, k)
+            inside = (row == 1) & (pos >= before) & (pos + k <= before + len(stretch))
+            got = {(p - before, x) for p, x in zip(pos[inside].tolist(), h[inside].tolist())}
+            hashes = arrays.rolling(np.frombuffer(stretch.encode("utf-32-le"), np.uint32), k)
+            brute = {o + int(np.argmin(hashes[o : o + span - k + 1])) for o in range(len(stretch) - span + 1)}
+            assert brute <= {p for p, _ in got}
+
+
 def plain(t):
     t = unicodedata.normalize("NFD", t).lower().replace("ς", "σ").replace("ϲ", "σ")
     return "".join(c for c in t if unicodedata.category(c)[0] == "L")
