@@ -29,6 +29,17 @@ def p2_splits(spark: SparkSession, sf: str) -> DataFrame:
     return splits.grouped_split(table(spark, sf, "corpus").select("doc_id", "tm"), ["tm"], valid={"tm": F.col("tm") > 0})
 
 
+def p2_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of each split, and numbers that :func:`p2_splits` tears apart."""
+    from pyspark.sql import functions as F
+
+    got = p2_splits(spark, sf)
+    numbers = table(spark, sf, "corpus").where("tm > 0").select("doc_id", "tm").distinct()
+    placed = got.join(numbers, "doc_id").select("tm", "split").distinct()
+    torn = placed.join(placed.groupBy("tm").count().where("count > 1"), "tm").groupBy("split").agg(F.count("*").alias("torn"))
+    return got.groupBy("split").agg(F.count("*").alias("documents")).join(torn, "split", "left").select("split", "documents", F.coalesce("torn", F.lit(0)).cast("long").alias("torn"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -48,6 +59,13 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return distinctive.distinctive_terms(table(spark, sf, "corpus"), min_count=3).where("df between 2 and 5").select("doc_id", "term")
 
 
+def p4_scores(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    scored = distinctive.distinctive_terms(table(spark, sf, "corpus"), min_count=3)
+    return scored.select("doc_id", "term", "tf", "df", "cf", F.round("ridf", 6).alias("ridf"), F.round("score", 6).alias("score"))
+
+
 def p5_sample(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.stable_sample(table(spark, sf, "corpus"), 0.1)
 
@@ -64,11 +82,16 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf, "documents"), table(spark, sf, "test_items")).where("run >= 48").select("doc_id", "item_id")
 
 
+def p9_edited(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs whose best alignment scores at least as much as 48 equal letters, edited copies among them."""
+    return leakage.leaked_items(table(spark, sf, "documents"), table(spark, sf, "test_items")).select("doc_id", "item_id", "score")
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return spans.shared_spans(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p3_found, p3_report, p3_cover, p4_found, p5_sample, p7_found, p8_ids, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p2_totals, p3_found, p3_report, p3_cover, p4_found, p4_scores, p5_sample, p7_found, p8_ids, p9_found, p9_edited, p10_found)}
 
 _TEXTS = """docs AS (SELECT DISTINCT doc_id, lower(trim(split, ' ' || chr(9))) AS split, replace(array_to_string(lines, ''), '▯', '') AS t FROM corpus),
  sh AS (SELECT DISTINCT doc_id, substr(t, i::BIGINT, 5) AS s FROM docs, LATERAL (SELECT unnest(range(1, length(t) - 3)) AS i) WHERE length(t) >= 20),
@@ -86,6 +109,9 @@ SQL = {
  g AS (SELECT a AS doc_id, min(b) AS group_id, count(DISTINCT b) AS n FROM (SELECT a, b FROM reach UNION SELECT a, a FROM reach) GROUP BY 1)
 SELECT doc_id, group_id FROM g WHERE n > 1 AND doc_id IN (SELECT doc_id FROM corpus)""",
     "p2_found": """SELECT tm FROM corpus WHERE tm > 0 GROUP BY tm HAVING count(DISTINCT lower(trim(split, ' ' || chr(9)))) > 1""",
+    "p2_totals": """WITH n AS (SELECT count(DISTINCT doc_id) AS n FROM corpus)
+SELECT 'val' AS split, round_even(0.1 * n, 0)::BIGINT AS documents, 0::BIGINT AS torn FROM n UNION ALL SELECT 'test', round_even(0.1 * n, 0)::BIGINT, 0 FROM n
+UNION ALL SELECT 'train', n - 2 * round_even(0.1 * n, 0)::BIGINT, 0 FROM n""",
     "p3_found": f"""WITH {_TEXTS},
  s AS (SELECT doc_id, split FROM docs)
 SELECT a AS doc_id_a, b AS doc_id_b FROM alike JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b
@@ -107,6 +133,12 @@ SELECT doc_id, side::INT AS split_side, length(t)::BIGINT AS letters, coalesce(c
  tf AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE NOT contains(term, '▯') GROUP BY 1, 2),
  df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)
 SELECT doc_id, term FROM tf JOIN df USING (term) WHERE tf >= 3 AND df BETWEEN 2 AND 5""",
+    "p4_scores": """WITH docs AS (SELECT DISTINCT doc_id, lines FROM corpus), l AS (SELECT doc_id, unnest(lines) AS line FROM docs),
+ t AS (SELECT doc_id, substr(line, i::BIGINT, 6) AS term FROM l, LATERAL (SELECT unnest(range(1, length(line) - 4)) AS i)),
+ tf AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE NOT contains(term, '▯') GROUP BY 1, 2),
+ df AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY 1), n AS (SELECT count(DISTINCT doc_id)::DOUBLE AS n FROM corpus),
+ r AS (SELECT *, -log2(df / n) + log2(1 - exp(-cf / n)) AS ridf FROM df, n)
+SELECT doc_id, term, tf, df, cf, round(ridf, 6) AS ridf, round(tf * ridf, 6) AS score FROM tf JOIN r USING (term) WHERE tf >= 3""",
     "p5_sample": """WITH d AS (SELECT DISTINCT doc_id, tm FROM corpus WHERE doc_id IS NOT NULL)
 SELECT doc_id, tm FROM d WHERE ('0x' || substr(sha256('stemma-sample-1|' || CASE WHEN tm > 0 THEN 'tm:' || tm ELSE 'doc_id:' || doc_id END), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < 0.1""",
     "p7_found": f"""WITH RECURSIVE {_TEXTS},
