@@ -39,7 +39,33 @@ def test_attributes_and_items(spark):
     flat = {(r["doc_id"], r["node"]): r for r in nested.inlined(n, ["tag", "unit", "precision.by.hand"]).collect()}
     assert flat["lone", "1.1.1"]["precision_by_hand"] == "3" and flat["lone", "1.1"]["tag"] == "b" and flat["lone", "1"]["unit"] is None
     assert ("lone", "supplied", "1.1", "extent", 1, "x") in rows(nested.repeated(n))
-    assert ("supplied", "extent", "precision.degree", 1, False) in rows(nested.schema_graph(n), "field", "link", "name", "n", "repeated")
+    graph = nested.schema_graph(frame(spark, VALUES), ["supplied"])
+    assert ("supplied", "precision", "degree", False, False, 1) in rows(graph, "field", "element", "name", "is_object", "many", "n")
+    tables = nested.tables_of(graph)
+    assert tables == {"children", "child", "extent"} and {"precision.degree", "precision.by.hand", "tag", "unit"} <= set(nested.singletons(graph, tables))
+
+
+def test_layout():
+    one, many = (True, False), (True, True)
+    assert nested.layout([("", "a", *one), ("a", "b", *one), ("a", "x", False, True)], ()) == set()
+    assert nested.layout([("", "a", *many)], ()) == {"a"}
+    assert nested.layout([("", "a", *one), ("", "c", *one), ("a", "b", *one), ("c", "b", *one)], ()) == {"b"}
+    assert nested.layout([("", "a", *one), ("a", "b", *one), ("b", "a", *one)], ()) == {"a", "b"}
+    assert nested.layout([("", "a", *one)], ("child",)) == {"child"}
+
+
+def test_objects_in_arrays_are_rows(spark):
+    values = {"a": '{"who":[{"name":"x","roles":[{"r":1},{"r":2},5]},null,{"name":"y"}],"place":{"at":{"lat":1.5}},"child":{"place":{"at":{"lat":2}}}}'}
+    n = nested.shred(frame(spark, values), ["supplied"])
+    got = {r["node"]: (r["parent"], r["link"], dict(r["attributes"])) for r in n.collect()}
+    assert got == {
+        "1": ("", "", {}),
+        "1.1": ("1", "child", {}),
+        "1/who.1": ("1", "who", {"name": "x"}), "1/who.3": ("1", "who", {"name": "y"}),
+        "1/who.1/roles.1": ("1/who.1", "roles", {"r": "1"}), "1/who.1/roles.2": ("1/who.1", "roles", {"r": "2"}),
+        "1/place.1": ("1", "place", {"at.lat": "1.5"}), "1.1/place.1": ("1.1", "place", {"at.lat": "2"}),
+    }
+    assert rows(nested.repeated(n), "node", "name", "position", "value") == [("1", "who", 2, None), ("1/who.1", "roles", 3, "5")]
 
 
 def test_every_singleton_is_a_column(spark, tmp_path):
@@ -64,7 +90,7 @@ def test_last_delivery_and_repeats(spark):
 
 def test_deep(spark):
     deep = 30_000
-    got = nested.shred(frame(spark, {"d": '{"child":' * deep + "{}" + "}" * deep}), ["supplied"], inline=False)
+    got = nested.shred(frame(spark, {"d": '{"child":' * deep + "{}" + "}" * deep}), ["supplied"])
     assert got.count() == deep + 1
 
 
