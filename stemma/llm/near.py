@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,103 +10,74 @@ from pyspark.sql import functions as F
 from ..session import Stage
 from .arrays import mix, product, triangle
 from .groups import hash_to_min
-from .shingles import COUNTERS, SLICES, alike_sizes, budget, distinct_shingles, frequencies, fresh, latest, parity, positions_allow, prefixes, sizes_of, text_rows, verified
+from .shingles import alike_sizes, bands_of, budget, counters_for, distinct_shingles, folded, frequencies, latest, parts, positions_allow, prefixes, sizes_of, text_rows, verified, wide_parity, widths_of
+from .sketch import merged
 
 #: A shingle in more texts than this is compared chunk against chunk, each pair of chunks a key of its own.
 CHUNK = 4096
 #: Texts of a star from which on its members, known to be one group, are not compared with each other.
 GROUP = 64
-#: Slots of the table of star centres, and hashes a text tries.
-SLOTS, TRIES = 1 << 18, 4
+#: Hash functions by which a text looks for a centre.
+TRIES = 4
 _LEAF = 16
-_CENTRE = np.dtype([("id", "<i8"), ("n", "<i4"), ("s", "<u8", 4)])
-
-
-def _slots(row: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text with shingles its row, and its slots by the smallest hash of its shingles under each of some functions."""
-    n, start = sizes_of(row, rows)
-    some = np.flatnonzero(n)
-    if not len(some):
-        return some, np.zeros((TRIES, 0), np.int64)
-    low = [np.minimum.reduceat(mix(h ^ np.uint64(0x9E3779B9 * (j + 1))), start[some]) for j in range(TRIES)]
-    return some, np.stack([(mix(x + np.uint64(j)) % np.uint64(SLOTS)).astype(np.int64) for j, x in enumerate(low)])
 
 
-def _smaller(table: np.ndarray, other: np.ndarray) -> np.ndarray:
-    take = (other["n"] > 0) & ((table["n"] == 0) | (other["id"] < table["id"]))
-    return np.where(take, other, table)
-
-
-def star_links(rows: DataFrame) -> DataFrame:
+def star_links(texts: DataFrame) -> DataFrame:
     """Pairs of text ids (``a``, ``b``) of a text and a centre that it may be alike to, at most ``TRIES`` a text.
 
-    Texts that are alike mostly fall on one slot of a table of fixed size (11 MB), whose centre is the
-    smallest id there. A large group of near-copies is so tied together by as many links as it has
-    members instead of all its pairs. What is not found here is found by the trie.
+    Under each of some hash functions alike sets mostly have one smallest hash, and the smallest id with that
+    hash is the centre: an aggregate with partial sums, and a join with one row a hash. A large group of near-copies is so
+    tied together by as many links as it has members instead of all its pairs. What is not found here is found by the trie.
     """
-    parts = SLOTS // 16
 
-    def fill(batches):
-        table = np.zeros(SLOTS, _CENTRE)
-        for texts, ids, _ in fresh(batches):
-            row, h = distinct_shingles(texts)
-            some, slots = _slots(row, h, len(texts))
-            own = np.zeros(len(texts), _CENTRE)
-            own["id"], own["n"], own["s"] = ids, sizes_of(row, len(texts))[0], parity(row, h, len(texts))
-            some_order = np.argsort(-ids[some].astype(np.float64), kind="stable")
-            for at in slots:
-                new = np.zeros(SLOTS, _CENTRE)
-                new[at[some_order]] = own[some[some_order]]  # of several on one slot the last, the smallest
-                table = _smaller(table, new)
-        if table["n"].any():
-            yield pa.record_batch([pa.array(range(16), pa.int32()), pa.array([zlib.compress(table[i * parts : (i + 1) * parts].tobytes(), 1) for i in range(16)], pa.binary())], ["slice", "centres"])
-
-    def merge(batches):
-        got: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, blob in zip(batch.column("slice").to_pylist(), batch.column("centres").to_pylist()):
-                t = np.frombuffer(zlib.decompress(blob), _CENTRE)
-                got[i] = _smaller(got[i], t) if i in got else t
-        yield pa.record_batch([pa.array(list(got), pa.int32()), pa.array([zlib.compress(t.tobytes(), 1) for t in got.values()], pa.binary())], ["slice", "centres"])
-
-    given, schema = rows.select("id", "text"), "slice int, centres binary"
-    table = np.zeros(SLOTS, _CENTRE)
-    for r in given.mapInArrow(fill, schema).repartition(16, "slice").mapInArrow(merge, schema).collect():
-        table[r["slice"] * parts : (r["slice"] + 1) * parts] = np.frombuffer(zlib.decompress(r["centres"]), _CENTRE)
-    sent = rows.sparkSession.sparkContext.broadcast(table)
-
-    def tie(batches):
-        centres = sent.value
-        for texts, ids, _ in fresh(batches):
-            row, h = distinct_shingles(texts)
-            some, slots = _slots(row, h, len(texts))
-            n, bits = sizes_of(row, len(texts))[0][some], parity(row, h, len(texts))[some]
-            pairs = []
-            for at in slots:
-                c = centres[at]
-                far = np.bitwise_count(c["s"] ^ bits).sum(1)
-                ok = (c["id"] != ids[some]) & alike_sizes(n, c["n"].astype(np.int64)) & (far <= budget(n, c["n"].astype(np.int64)))
-                pairs.append(np.c_[np.minimum(c["id"], ids[some])[ok], np.maximum(c["id"], ids[some])[ok]])
-            pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-            yield pa.record_batch([pairs[:, 0].copy(), pairs[:, 1].copy()], ["a", "b"])
+    def least(batches):
+        for block, ids, _ in parts(batches):
+            row, h = distinct_shingles(block)
+            n, start = sizes_of(row, len(block))
+            some = np.flatnonzero(n)
+            if len(some):
+                low = [mix(np.minimum.reduceat(mix(h ^ np.uint64(0x9E3779B9 * (j + 1))), start[some]) + np.uint64(j)) for j in range(TRIES)]
+                yield pa.record_batch([np.tile(ids[some], TRIES), np.concatenate(low).view(np.int64)], ["id", "low"])
 
-    return given.mapInArrow(tie, "a long, b long").distinct()
+    lows = texts.select("id", "text").mapInArrow(least, "id long, low long")
+    centres = lows.groupBy("low").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").drop("z")
+    return lows.join(centres, "low").where("id <> a").select("a", F.col("id").alias("b")).distinct()
 
 
-def trie_pairs(block: np.ndarray, bits: np.ndarray, n: np.ndarray, rank: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of one block and of different groups whose bits differ in no more places than the budget of their sizes.
+def trie_pairs(block: np.ndarray, sketches: list[bytes], n: np.ndarray, rank: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of one block and of different groups whose sketches differ in no more places than the budget of their sizes.
 
     A block falls into bands of sizes, each a quarter larger than the one before, so that alike
-    sets stand in the same band or in neighbours. Sorted by bits, each band is a binary trie in
+    sets stand in the same band or in neighbours. The sketches of a band have a width that grows with its sets, and
+    so the budget stays under a quarter of it; where the next band is twice as wide, it is folded for the meeting.
+    """
+    band = bands_of(n)
+    width = widths_of(band)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    below = widths_of(band - 1)
+    for w in np.unique(width).tolist():
+        own, upper = np.flatnonzero(width == w), np.flatnonzero((below == w) & (width == 2 * w))
+        read = lambda at, x: np.frombuffer(b"".join(sketches[i] for i in at.tolist()), ">u8").astype(np.uint64).reshape(len(at), x // 64)
+        bits = np.concatenate([read(own, w), folded(read(upper, 2 * w))])
+        at = np.r_[own, upper]
+        i, j = _of_one_width(block[at], bits, band[at], n[at], rank[at], group[at], np.r_[np.ones(len(own), bool), np.zeros(len(upper), bool)])
+        found.append((at[i], at[j]))
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
+
+
+def _of_one_width(block, bits, band, n, rank, group, own) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of :func:`trie_pairs` of which the smaller set is one of ``own``.
+
+    Sorted by bits, each band is a binary trie in
     place: a node is a range, and a bit splits it where the bit turns 1. All bands descend
     together, bit by bit. A node meets itself as its two halves and as their pair, two nodes meet
     as the four pairs of their halves; a pair of unlike halves has one more differing bit, and a
     pair of nodes goes when its differing bits exceed the largest budget within, or when all
     within are of one group. Small nodes are compared at once.
     """
-    band = np.floor(np.log(np.maximum(n, 1)) / np.log(1.2500001)).astype(np.int16)
-    order = np.lexsort((bits[:, 3], bits[:, 2], bits[:, 1], bits[:, 0], band, block))
-    block, band, bits, n, rank, group = block[order], band[order], bits[order], n[order].astype(np.int64), rank[order].astype(np.int64), group[order]
+    words = bits.shape[1]
+    order = np.lexsort((*bits.T[::-1], band, block))
+    block, band, bits, n, rank, group, own = block[order], band[order], bits[order], n[order].astype(np.int64), rank[order].astype(np.int64), group[order], own[order]
     changes = np.r_[0, np.cumsum(group[1:] != group[:-1])] if len(group) else group
     edge = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (band[1:] != band[:-1])]) if len(block) else np.zeros(0, np.int64)
     lo, hi = edge, np.r_[edge[1:], len(block)]
@@ -126,14 +95,14 @@ def trie_pairs(block: np.ndarray, bits: np.ndarray, n: np.ndarray, rank: np.ndar
         ok = (group[i] != group[j]) & alike_sizes(n[i], n[j]) & positions_allow(n[i], rank[i], n[j], rank[j])
         i, j = i[ok], j[ok]
         far = np.zeros(len(i), np.int64)
-        for w in range(4):
+        for w in range(words):
             far += np.bitwise_count(bits[i, w] ^ bits[j, w])
         ok = far <= budget(n[i], n[j])
         found.append((order[i[ok]], order[j[ok]]))
 
     def descend(lo, hi, a0, a1, b0, b1):
         err = np.zeros(len(a0), np.int64)
-        for d in range(256):
+        for d in range(64 * words):
             small = hi - lo <= 4
             leaf(*triangle(lo[small], hi[small]))
             lo, hi = lo[~small], hi[~small]
@@ -158,53 +127,43 @@ def trie_pairs(block: np.ndarray, bits: np.ndarray, n: np.ndarray, rank: np.ndar
         leaf(*triangle(lo, hi))
         leaf(*product(a0, a1, b0, b1))
 
-    next_ = np.flatnonzero((block[edge[1:]] == block[edge[:-1]]) & (band[edge[1:]] == band[edge[:-1]] + 1))
+    next_ = np.flatnonzero((block[edge[1:]] == block[edge[:-1]]) & (band[edge[1:]] == band[edge[:-1]] + 1) & own[edge[:-1]])
     size = hi - lo
     size[next_] += hi[next_ + 1] - lo[next_ + 1]
     work = np.cumsum(size * size) // 4_000_000
-    alone = hi - lo > 1
+    alone = (hi - lo > 1) & own[edge]
     for w in np.unique(work):
-        own, other = (work == w) & alone, next_[work[next_] == w]
-        descend(lo[own], hi[own], lo[other], hi[other], lo[other + 1], hi[other + 1])
+        single, other = (work == w) & alone, next_[work[next_] == w]
+        descend(lo[single], hi[single], lo[other], hi[other], lo[other + 1], hi[other + 1])
     return (np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])) if found else (np.zeros(0, np.int64),) * 2
 
 
-def group_counters(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def group_counters(texts: DataFrame, counters: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each counter of :func:`frequencies`: texts of a large group, and the least and greatest mark of such a group (0: none).
 
-    The same fixed size as the frequencies, and empty where there is no large group.
+    As many as the frequencies, and empty where there is no large group.
     """
+    top = 2**31 - 1
 
     def count(batches):
-        f, low, high = np.zeros(COUNTERS, np.int32), np.full(COUNTERS, 2**31 - 1, np.int32), np.zeros(COUNTERS, np.int32)
-        for texts, _, groups in fresh(batches, "group"):
-            row, h = distinct_shingles(texts)
-            c = (h % np.uint64(COUNTERS)).astype(np.int64)
+        out = np.zeros((counters, 3), np.int32)
+        for block, _, groups in parts(batches, "group"):
+            row, h = distinct_shingles(block)
+            c = (h % np.uint64(counters)).astype(np.int64)
             m = _marks(np.array(groups, np.int64))[row]
-            np.add.at(f, c, 1)
-            np.minimum.at(low, c, m)
-            np.maximum.at(high, c, m)
-        if f.any():
-            yield pa.record_batch([pa.array(range(SLICES), pa.int32()), *(pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(y, SLICES)], pa.binary()) for y in (f, low, high))], ["slice", "f", "low", "high"])
-
-    def merge(batches):
-        got: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for i, *blobs in zip(*(batch.column(c).to_pylist() for c in ("slice", "f", "low", "high"))):
-                f, low, high = (np.frombuffer(zlib.decompress(x), np.int32) for x in blobs)
-                if i in got:
-                    g = got[i]
-                    f, low, high = np.minimum(g[0] + f.astype(np.int64), 2**31 - 1).astype(np.int32), np.minimum(g[1], low), np.maximum(g[2], high)
-                got[i] = [f, low, high]
-        yield pa.record_batch([pa.array(list(got), pa.int32()), *(pa.array([zlib.compress(g[j].tobytes(), 1) for g in got.values()], pa.binary()) for j in range(3))], ["slice", "f", "low", "high"])
-
-    schema = "slice int, f binary, low binary, high binary"
-    out = np.zeros(COUNTERS, np.int32), np.full(COUNTERS, 2**31 - 1, np.int32), np.zeros(COUNTERS, np.int32)
-    n = COUNTERS // SLICES
-    for r in rows.where("large").select("id", "text", "group").mapInArrow(count, schema).repartition(SLICES, "slice").mapInArrow(merge, schema).collect():
-        for x, c in zip(out, ("f", "low", "high")):
-            x[r["slice"] * n : (r["slice"] + 1) * n] = np.frombuffer(zlib.decompress(r[c]), np.int32)
-    return out
+            np.add.at(out[:, 0], c, 1)
+            np.maximum.at(out[:, 1], c, top - m)
+            np.maximum.at(out[:, 2], c, m)
+        return out.ravel()
+
+    def join(a, b):
+        a, b = a.reshape(-1, 3), b.reshape(-1, 3)
+        out = np.maximum(a, b)
+        out[:, 0] = np.minimum(a[:, 0].astype(np.int64) + b[:, 0], top)
+        return out.ravel()
+
+    out = merged(texts.where("large").select("id", "text", "group"), count, 3 * counters, np.int32, join).reshape(-1, 3)
+    return out[:, 0].copy(), top - out[:, 1], out[:, 2].copy()
 
 
 def _marks(groups: np.ndarray) -> np.ndarray:
@@ -253,35 +212,35 @@ def trie_candidates(rows: DataFrame, counts: np.ndarray, large: tuple[np.ndarray
 
     ``rows`` has ``id``, ``text``, ``group`` (the text's own id, or that of its large group) and ``large``.
     """
-    shared = rows.sparkSession.sparkContext.broadcast((counts, *large))  # 16 MB, of a fixed size
+    shared = rows.sparkSession.sparkContext.broadcast((counts, *large))  # 64 MB at most
 
     def emit(batches):
         f, heavy_f, low, high = shared.value
-        for texts, ids, groups in fresh(batches, "group"):
+        for texts, ids, groups in parts(batches, "group"):
             group = np.array(groups, np.int64)
             row, h = distinct_shingles(texts)
             at, rank, n = prefixes(row, h, len(texts), f)
-            bits = parity(row, h, len(texts))
+            bits = pa.array(wide_parity(row, h, n), pa.binary())
             r, key = row[at], h[at]
-            c = (key % np.uint64(COUNTERS)).astype(np.int64)
+            c = (key % np.uint64(len(f))).astype(np.int64)
             single = low[c] == high[c]  # with several large groups on a counter all of them are cut as the others are
             dense = np.minimum(np.where(single, heavy_f[c], 0), f[c])
             i, key = block_keys(key, ids[r], f[c], dense, single & (dense > 0) & (_marks(group)[r] == high[c]))
             r, rank = r[i], rank[i]
-            yield pa.record_batch([key.view(np.int64), ids[r], group[r], n[r] << 32 | rank, *(bits[r, j].view(np.int64) for j in range(4))], ["k", "id", "grp", "place", "s0", "s1", "s2", "s3"])
+            yield pa.record_batch([key.view(np.int64), ids[r], group[r], n[r] << 32 | rank, bits.take(pa.array(r))], ["k", "id", "grp", "place", "bits"])
 
     def meet(batches):
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         t = pa.Table.from_batches(got)
-        k, ids, group, place, *s = (t.column(c).to_numpy() for c in ("k", "id", "grp", "place", "s0", "s1", "s2", "s3"))
-        i, j = trie_pairs(k, np.stack(s, 1).view(np.uint64), place >> 32, place & 0xFFFFFFFF, group)
+        k, ids, group, place = (t.column(c).to_numpy() for c in ("k", "id", "grp", "place"))
+        i, j = trie_pairs(k, t.column("bits").to_pylist(), place >> 32, place & 0xFFFFFFFF, group)
         a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
         pairs = np.unique(np.c_[a, b][a < b], axis=0)
         yield pa.record_batch([pairs[:, 0].copy(), pairs[:, 1].copy()], ["a", "b"])
 
-    keyed = rows.select("id", "text", "group").mapInArrow(emit, "k long, id long, grp long, place long, s0 long, s1 long, s2 long, s3 long")
+    keyed = rows.select("id", "text", "group").mapInArrow(emit, "k long, id long, grp long, place long, bits binary")
     return keyed.repartition("k").mapInArrow(meet, "a long, b long").distinct()
 
 
@@ -301,16 +260,15 @@ def near_duplicate_groups(docs: DataFrame, lines: str = "lines", least: int = 20
     stage = Stage(docs.sparkSession, "near")
     rows = text_rows(docs.select("doc_id", F.col(lines).alias("lines"), *(["loaded_at"] if "loaded_at" in docs.columns else [])), 0)
     member = stage.save(latest(rows.withColumn("size", F.length("text")), "id", "size").where(F.col("size") >= least).select("doc_id", "id"))
-    rows = rows.where(F.length("text") >= least)
-    alive = member.select("id").distinct()
-    of_living = lambda p: p.join(alive.withColumnRenamed("id", "a"), "a", "left_semi").join(alive.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
-    stars = stage.save(of_living(verified(stage.save(star_links(rows)), rows, stage).select("a", "b")))
+    texts = stage.save(rows.where(F.length("text") >= least).select("id", "text").join(member.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
+    stars = stage.save(verified(stage.save(star_links(texts)), texts, stage).select("a", "b"))
     centre = hash_to_min(stars)
     large = centre.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") >= GROUP).select("root")
     tied = stage.save(centre.join(large, "root", "left_semi").select(F.col("vertex").alias("id"), F.col("root").alias("group")))
-    known = rows.select("id", "text").join(tied, "id", "left").select("id", "text", F.coalesce("group", "id").alias("group"), F.col("group").isNotNull().alias("large"))
-    pairs = stage.save(trie_candidates(known, frequencies(rows), group_counters(known)))
-    links = stars.union(stage.save(of_living(verified(pairs, rows, stage).select("a", "b")))).distinct()
+    known = stage.save(texts.join(tied, "id", "left").select("id", "text", F.coalesce("group", "id").alias("group"), F.col("group").isNotNull().alias("large")))
+    counters = counters_for(texts.agg(F.sum(F.length("text"))).first()[0] or 0)
+    pairs = stage.save(trie_candidates(known, frequencies(texts, counters), group_counters(known, counters)))
+    links = stars.union(stage.save(verified(pairs, texts, stage).select("a", "b"))).distinct()
     root = hash_to_min(links).withColumnRenamed("vertex", "id")
     grouped = stage.save(member.join(root, "id", "left").select("doc_id", F.coalesce("root", "id").alias("root")))
     named = grouped.groupBy("root").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n")).where("n > 1").drop("n")

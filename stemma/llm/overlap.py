@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import Stage
 from .arrays import mix, product
-from .shingles import K, alike_sizes, fresh, latest, parity, positions_allow, distinct_shingles, similarity, sizes_of, text_rows
+from .shingles import K, alike_sizes, parts, latest, parity, positions_allow, distinct_shingles, similarity, sizes_of, text_rows
 from .splits import read_split
 from .suffixes import Alphabet, Block, covered, cross_neighbours, pack, pack_keys, shared_letters, unpack, unpack_keys
 
@@ -151,17 +151,17 @@ class Sides:
             own = sides[row]
             keep &= ((own & 1 == 1) & (f[:, 1] > 0)) | ((own & 2 == 2) & (f[:, 0] > 0))
             row, shingle, f, rank = row[keep], shingle[keep], f[keep], rank[keep]
-            parts = f // CHUNK + 1
+            pieces = f // CHUNK + 1
             code, num, size = code[shingle], nums[row], n[row]
             place = code >> np.uint64(alphabet.bits * (K - cell)) if alphabet.per_word >= K else code >> np.uint64(50)
             out = []  # (cell, index, side)
             for s in (0, 1):
                 i = np.flatnonzero((sides[row] >> s & 1 == 1) & (f[:, 1 - s] > 0))
-                again = np.repeat(i, parts[i, 1 - s])
-                other = np.arange(len(again)) - np.repeat(np.cumsum(parts[i, 1 - s]) - parts[i, 1 - s], parts[i, 1 - s])
-                mine = (mix(num[again].view(np.uint64)) % parts[again, s].astype(np.uint64)).astype(np.int64)
+                again = np.repeat(i, pieces[i, 1 - s])
+                other = np.arange(len(again)) - np.repeat(np.cumsum(pieces[i, 1 - s]) - pieces[i, 1 - s], pieces[i, 1 - s])
+                mine = (mix(num[again].view(np.uint64)) % pieces[again, s].astype(np.uint64)).astype(np.int64)
                 pair = (np.where(s == 0, mine, other) << 20 | np.where(s == 0, other, mine)).astype(np.uint64)
-                hot = parts[again].max(1, initial=1) > 1
+                hot = pieces[again].max(1, initial=1) > 1
                 to = np.where(hot, (mix(code[again] ^ mix(pair)) | np.uint64(1 << 63)).view(np.int64), place[again].astype(np.int64))
                 out.append(np.c_[to, again, np.full(len(again), s)])
             to, i, s = np.concatenate(out).T
@@ -230,7 +230,7 @@ def close_pairs(pairs: DataFrame, texts: DataFrame, stage: Stage) -> DataFrame:
     """
 
     def bits(batches):
-        for texts, ids, _ in fresh(batches):
+        for texts, ids, _ in parts(batches):
             row, h = distinct_shingles(texts)
             n, _ = sizes_of(row, len(texts))
             p = parity(row, h, len(texts))

@@ -2,14 +2,13 @@
 
 Two sets with a Jaccard similarity of at least 4/5 share one of their first
 ``n - ceil(4n/5) + 1`` elements under any order that is the same for both sets. The order here is
-rarest first, by counters of a fixed size that all documents fill; counters may
+rarest first, by counters, sized from the letters of all texts, that all documents fill; counters may
 overestimate, which changes the work and never the result. A counter of 1 proves that
 no other text holds the shingle.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import blocks, flat, inside, rolling
+from .sketch import merged, saturating, sized
 
 GAP = "▯"
 K = 5
-COUNTERS = 1 << 20
-SLICES = 16
+#: Most counters (16 MB).
+MOST_COUNTERS = 1 << 22
 H = 48
+#: Bits of the sketch of a set, at least and at most.
+LEAST_BITS, MOST_BITS = 256, 4096
 
 
 def letters_of(lines: Column | str) -> Column:
@@ -63,55 +65,31 @@ def distinct_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (key >> np.uint64(H)).astype(np.int64), key & np.uint64((1 << H) - 1)
 
 
-def fresh(batches: Iterator[pa.RecordBatch], extra: str | None = None) -> Iterator[tuple[list[str], np.ndarray, list]]:
-    """Blocks of texts, ids and one further column, each text once per task (a text repeated by a third of the rows counts once)."""
-    seen: set = set()
+def parts(batches: Iterator[pa.RecordBatch], extra: str | None = None) -> Iterator[tuple[list[str], np.ndarray, list]]:
+    """Blocks of texts, ids and one further column."""
     for batch in batches:
         ids, texts = batch.column("id").to_numpy(zero_copy_only=False), batch.column("text").to_pylist()
         more = batch.column(extra).to_pylist() if extra else [None] * len(texts)
-        keep = []
-        for i, key in enumerate(zip(ids.tolist(), more)):
-            if key not in seen:
-                seen.add(key)
-                keep.append(i)
-        if len(seen) > 2_000_000:  # bounds memory; a text may then come out again, which later steps bear
-            seen.clear()
-        lengths = np.fromiter((len(texts[i]) for i in keep), np.int64, len(keep))
-        for a, b in blocks(lengths):
-            at = keep[a:b]
-            yield [texts[i] for i in at], ids[at], [more[i] for i in at]
-
-
-def frequencies(rows: DataFrame) -> np.ndarray:
-    """For each of ``COUNTERS`` counters the number of texts with a shingle that falls on it.
-
-    Every task counts in an array of fixed size and sends it compressed and in slices; the
-    sum, of the same fixed size (4 MB), is what is broadcast, however large the collection.
-    """
+        for a, b in blocks(np.fromiter(map(len, texts), np.int64, len(texts))):
+            yield texts[a:b], ids[a:b], more[a:b]
+
+
+def counters_for(letters: int) -> int:
+    """How many counters serve texts of so many letters: a quarter, up to ``MOST_COUNTERS``."""
+    return sized(letters // 4, 1 << 16, MOST_COUNTERS)
+
+
+def frequencies(texts: DataFrame, counters: int) -> np.ndarray:
+    """For each of some counters the number of texts with a shingle that falls on it; each text is one row."""
 
     def count(batches):
-        total = np.zeros(COUNTERS, np.int32)
-        for texts, _, _ in fresh(batches):
-            _, h = distinct_shingles(texts)
-            total += np.bincount((h % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.int32)
-        if total.any():
-            parts = np.split(total, SLICES)
-            yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], ["slice", "counts"])
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for s, blob in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
-                a = np.frombuffer(zlib.decompress(blob), np.int32)
-                sums[s] = np.minimum(sums[s] + a.astype(np.int64), 2**31 - 1).astype(np.int32) if s in sums else a
-        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(a.tobytes(), 1) for a in sums.values()], pa.binary())], ["slice", "counts"])
+        total = np.zeros(counters, np.int32)
+        for block, _, _ in parts(batches):
+            _, h = distinct_shingles(block)
+            total += np.bincount((h % np.uint64(counters)).astype(np.int64), minlength=counters).astype(np.int32)
+        return total
 
-    schema = "slice int, counts binary"
-    got = rows.select("id", "text").mapInArrow(count, schema).repartition(SLICES, "slice").mapInArrow(add, schema).collect()
-    total = np.zeros(COUNTERS, np.int32)
-    for r in got:
-        total[r["slice"] * (COUNTERS // SLICES) :][: COUNTERS // SLICES] += np.frombuffer(zlib.decompress(r["counts"]), np.int32)
-    return total
+    return merged(texts.select("id", "text"), count, counters, np.int32, saturating)
 
 
 def sizes_of(row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,9 +100,8 @@ def sizes_of(row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
 def prefixes(row: np.ndarray, h: np.ndarray, rows: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which shingles (indexes) belong to their text's prefix and stand in another text, their rank, and the sizes of all texts."""
     n, start = sizes_of(row, rows)
-    f = counts[(h % np.uint64(COUNTERS)).astype(np.int64)]
-    key = (row.astype(np.uint64) << np.uint64(16)) | np.minimum(f, 65535).astype(np.uint64)
-    order = np.argsort(key, kind="stable")  # ties stay ordered by hash: one order for all texts
+    f = counts[(h % np.uint64(len(counts))).astype(np.int64)]
+    order = np.argsort((row.astype(np.uint64) << np.uint64(32)) | f.astype(np.uint64), kind="stable")  # ties stay ordered by hash: one order for all texts
     rank = np.arange(len(row)) - start[row[order]]
     keep = (rank < (n - (4 * n + 4) // 5 + 1)[row[order]]) & (f[order] > 1)
     return order[keep], rank[keep], n
@@ -147,6 +124,35 @@ def parity(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
+def bands_of(n: np.ndarray) -> np.ndarray:
+    """Bands of sizes, each a quarter larger than the one before: alike sets stand in one band or in neighbours."""
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(1.2500001)).astype(np.int64)
+
+
+def widths_of(band: np.ndarray) -> np.ndarray:
+    """Bits of a sketch in each band: the power of two that holds the largest set of the band, ``LEAST_BITS`` to ``MOST_BITS``.
+
+    Sets without anything in common differ in two fifths of such bits or more, alike ones in less than a quarter.
+    """
+    top = np.ceil(np.log2(np.maximum(1.0, 1.2500001 ** (band + 1.0))))
+    return (1 << np.clip(top, np.log2(LEAST_BITS), np.log2(MOST_BITS)).astype(np.int64)).astype(np.int64)
+
+
+def wide_parity(row: np.ndarray, h: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Parity bits of each text, as many as its size asks for: bit b tells whether an odd number of its shingles fall on b."""
+    width = widths_of(bands_of(n))
+    start = np.cumsum(width) - width
+    odd = np.bincount(start[row] + (h & (width[row] - 1).astype(np.uint64)).astype(np.int64), minlength=int(width.sum())).astype(np.uint8) & 1
+    packed = np.packbits(odd, bitorder="big").tobytes()
+    return [packed[a // 8 : (a + w) // 8] for a, w in zip(start.tolist(), width.tolist())]
+
+
+def folded(bits: np.ndarray) -> np.ndarray:
+    """Sketches of half the width: those of the same sets."""
+    half = bits.shape[1] // 2
+    return bits[:, :half] ^ bits[:, half:]
+
+
 def alike_sizes(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     return 5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb)
 

@@ -128,7 +128,7 @@ def test_trie_is_complete():
     bits = base[rng.integers(0, 20, 300)] ^ (rng.integers(0, 2**63, (300, 4), dtype=np.uint64) & rng.integers(0, 2**63, (300, 4), dtype=np.uint64) & rng.integers(0, 2**63, (300, 4), dtype=np.uint64) & rng.integers(0, 2**63, (300, 4), dtype=np.uint64))
     block, rank = rng.integers(0, 4, 300), np.zeros(300, np.int64)
     group = np.where(rng.integers(0, 3, 300) == 0, 7, np.arange(1000, 1300))
-    i, j = near.trie_pairs(block, bits, n, rank, group)
+    i, j = near.trie_pairs(block, [b.astype(">u8").tobytes() for b in bits], n, rank, group)
     got = {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())}
     want = set()
     for a in range(300):
@@ -139,6 +139,38 @@ def test_trie_is_complete():
     assert got == want and len(want) > 20
 
 
+def test_trie_of_several_widths():
+    """Sets of 100 to 5,000 shingles with near copies: all alike pairs and no others come out, whatever the widths of their sketches."""
+    rng = np.random.default_rng(11)
+    sets = []
+    for n in rng.integers(100, 5000, 90).tolist():
+        base = rng.choice(1 << 40, n, replace=False)
+        sets.append(base)
+        for drop in (0.02, 0.08, 0.1, 0.3):
+            sets.append(np.r_[base[int(drop * n) :], rng.choice(1 << 40, int(drop * n * rng.random()), replace=False)])
+    h = np.concatenate(sets).astype(np.uint64)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    n = np.bincount(row)
+    sketches = shingles.wide_parity(row, h, n)
+    i, j = near.trie_pairs(np.zeros(len(n), np.int64), sketches, n, np.zeros(len(n), np.int64), np.arange(len(n)))
+    got = {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())}
+    assert len(got) == len(i)
+    as_set = [set(x.tolist()) for x in sets]
+    alike = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 5 * len(as_set[a] & as_set[b]) >= 4 * len(as_set[a] | as_set[b])}
+    assert alike <= got and len(got - alike) < 0.5 * len(alike) and len(set(map(len, sketches))) == 5
+
+
+@pytest.mark.parametrize("letters", [150, 600, 3000])
+def test_trie_prunes(letters):
+    """Of unrelated texts of one length no pair is within the budget."""
+    r = random.Random(letters)
+    texts = [word(r, letters) for _ in range(200)]
+    row, h = shingles.distinct_shingles(texts)
+    n = np.bincount(row)
+    i, _ = near.trie_pairs(np.zeros(200, np.int64), shingles.wide_parity(row, h, n), n, np.zeros(200, np.int64), np.arange(200))
+    assert len(i) == 0
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.sets(st.integers(0, 400), max_size=60), st.sets(st.integers(0, 400), max_size=60))
 def test_parity_never_overestimates(a, b):
