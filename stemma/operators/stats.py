@@ -13,6 +13,17 @@ from .ranking import dense_index
 from .tasks import macro_f1, mae
 
 
+#: Draws of a replicate that one row makes.
+DRAWS = 1 << 16
+
+
+def _with_one(rows: DataFrame, one: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with the columns of their group's one row, or of the only row where there are no groups."""
+    if by:
+        return rows.join(F.broadcast(one), by)
+    return rows.withColumn("_all", F.lit(0)).join(F.broadcast(one.withColumn("_all", F.lit(0))), "_all").drop("_all")
+
+
 def _counts(members: DataFrame, by: list[str], col: str, kind: str, n_boot: int, seed: int) -> DataFrame:
     """``by``, ``b``, ``col``, ``times``: how often each member is drawn in replicate b, as many draws as members.
 
@@ -27,7 +38,10 @@ def _counts(members: DataFrame, by: list[str], col: str, kind: str, n_boot: int,
         group = d.agg(F.count("*").alias("n"))
     label = F.concat_ws("/", *[F.col(c).cast("string") for c in by]) if by else F.lit("")
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rolls = group.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).repartition(n, "b").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
+    rolls = group.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).repartition(n, "b")
+    part = F.lit(DRAWS).cast("long")  # draws in parts, so that no array is as long as the group
+    rolls = rolls.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / part))))
+    rolls = rolls.withColumn("j", F.explode(F.sequence(F.col("p") * part, F.least((F.col("p") + 1) * part, F.col("n")) - 1)))
     at = F.floor(T.unit_hash(F.lit(str(seed)), label, F.lit(kind), F.col("b"), F.col("j")) * F.col("n"))
     drawn = rolls.select(*by, "b", at.alias("index")).groupBy(*by, "b", "index").agg(F.count("*").alias("times"))  # replicates x members; the planner takes it for small and would broadcast it
     return drawn.hint("merge").join(d, [*by, "index"]).select(*by, "b", col, "times").repartition(n, "b")
@@ -68,14 +82,14 @@ def curve(preds: DataFrame, task: str = "form", n_boot: int = BOOTSTRAPS, by: li
     low = p.groupBy(*by).agg(F.min("cer").alias("base"))
     rep = Stage(preds.sparkSession, "replicates").save(replicates(p, task, by, n_boot, seed))  # levels x replicates, read twice
     keep = (lambda x, base: F.try_divide(base, x)) if task == "dating" else F.try_divide
-    first = rep.join(F.broadcast(low), by) if by else rep.crossJoin(F.broadcast(low))  # one row
+    first = _with_one(rep, low, by)
     first = first.where(F.col("cer") == F.col("base")).select(*by, "b", F.col("score").alias("first"))
     q = F.array(F.lit((1 - interval) / 2), F.lit(1 - (1 - interval) / 2))
     spread = rep.join(first, [*by, "b"], "left").groupBy(*by, "cer").agg(F.percentile("score", q).alias("s"), F.percentile(keep(F.col("score"), F.col("first")), q).alias("r"))
-    base = point.join(F.broadcast(low), by) if by else point.crossJoin(F.broadcast(low))
+    base = _with_one(point, low, by)
     base = base.where(F.col("cer") == F.col("base")).select(*by, F.col("point").alias("at_base"))
     full = point.join(spread, [*by, "cer"], "left")
-    full = full.join(base, by) if by else full.crossJoin(F.broadcast(base))
+    full = _with_one(full, base, by)
     return full.select(*by, "cer", "point", F.col("s")[0].alias("lo"), F.col("s")[1].alias("hi"), keep(F.col("point"), F.col("at_base")).alias("ret"), F.col("r")[0].alias("ret_lo"), F.col("r")[1].alias("ret_hi"), "n")
 
 

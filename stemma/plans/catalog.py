@@ -260,6 +260,20 @@ def minhash_groups(spark, sf):
     return grouping.grouped_splits(docs, grouping.number_edges(docs).union(grouping.minhash_pairs(docs)))
 
 
+@query(f"""WITH g AS (SELECT doc_id, CASE WHEN tm > 0 THEN 'tm ' || tm ELSE doc_id END AS g, gram_type AS label FROM {_D} WHERE gram_type IS NOT NULL),
+ per AS (SELECT g, label, count(*) AS n FROM g GROUP BY 1, 2),
+ lead_ AS (SELECT g, arg_max(label, struct_pack(n := n, l := label)) AS label, sum(n) AS size, '[' || string_agg('{{' || label || ', ' || n || '}}', ', ' ORDER BY label) || ']' AS counts FROM per GROUP BY 1),
+ f AS (SELECT *, ((row_number() OVER (ORDER BY label, size DESC, counts) - 1) % 5)::INT AS fold FROM lead_)
+SELECT label, size::BIGINT AS size, counts, fold, count(*) AS groups, 0::BIGINT AS torn FROM f GROUP BY ALL""")
+def fold_counts(spark, sf):
+    """How many groups of each label and make-up every fold has, and how many groups are in two folds."""
+    docs = _docs(spark, sf).drop("fold").where("gram_type is not null").withColumn("g", F.when(F.col("tm") > 0, F.concat(F.lit("tm "), F.col("tm").cast("string"))).otherwise(F.col("doc_id")))
+    folds = Stage(spark, "folds").save(grouping.stratified_folds(docs, "g", "gram_type"))
+    placed = docs.join(folds, "g").groupBy("g", F.col("gram_type").alias("label"), "fold").agg(F.count("*").alias("n"))
+    one = placed.groupBy("g").agg(F.max_by("label", F.struct("n", "label")).alias("label"), F.sum("n").alias("size"), F.sort_array(F.collect_list(F.struct("label", "n"))).cast("string").alias("counts"), F.min("fold").alias("fold"), F.max("fold").alias("other"))
+    return one.groupBy("label", "size", "counts", "fold").agg(F.count("*").alias("groups"), F.count_if(F.col("fold") != F.col("other")).alias("torn"))
+
+
 @query()
 def group_folds(spark, sf):
     docs = _docs(spark, sf)
@@ -307,7 +321,7 @@ def baseline_dating(spark, sf):
     return tasks.baseline("dating", t.where("split = 'train'"), t.where("split = 'test' and evaluated")).withColumn("score", F.round("score", 6))
 
 
-_BOOT = 200
+_BOOT = 1000
 
 
 def _curve_sql(preds: str, by: str, boots: int) -> str:
@@ -317,13 +331,13 @@ def _curve_sql(preds: str, by: str, boots: int) -> str:
         return f"""{kind}_ix AS (SELECT {by} AS g, {col} AS x, row_number() OVER (PARTITION BY {by} ORDER BY {col}) - 1 AS ix FROM (SELECT DISTINCT {by}, {col} FROM p)),
  {kind}_n AS (SELECT g, count(*) AS n FROM {kind}_ix GROUP BY 1),
  {kind}_d AS (SELECT g, b, floor({h} * n)::BIGINT AS ix, count(*) AS times FROM {kind}_n, LATERAL (SELECT unnest(range({boots})) AS b), LATERAL (SELECT unnest(range(n)) AS j) GROUP BY 1, 2, 3),
- {kind}_w AS (SELECT g, b, x, times FROM {kind}_d JOIN {kind}_ix USING (g, ix))"""
+ {kind}_w AS MATERIALIZED (SELECT g, b, x, times FROM {kind}_d JOIN {kind}_ix USING (g, ix))"""
     return f"""p AS ({preds}), {drawn('unit', 'unit')}, {drawn('seed', 'seed')},
- s AS (SELECT {by} AS g, cer, seed, unit, y AS label, CASE WHEN y = pred THEN 1.0 ELSE 0 END AS tp FROM p WHERE y IS NOT NULL UNION ALL SELECT {by}, cer, seed, unit, pred, 0 FROM p WHERE pred IS NOT NULL),
+ s AS MATERIALIZED (SELECT {by} AS g, cer, seed, unit, y AS label, CASE WHEN y = pred THEN 1.0 ELSE 0 END AS tp FROM p WHERE y IS NOT NULL UNION ALL SELECT {by}, cer, seed, unit, pred, 0 FROM p WHERE pred IS NOT NULL),
  k AS (SELECT g, cer, count(DISTINCT label) AS labels FROM s GROUP BY 1, 2),
  pt AS (SELECT g, cer, sum(2.0 * tp / n) / count(*) AS point FROM (SELECT g, cer, label, sum(tp) AS tp, count(*) AS n FROM s GROUP BY 1, 2, 3) GROUP BY 1, 2),
  rl AS (SELECT s.g, u.b, cer, label, sum(u.times * e.times * tp) AS tp, sum(u.times * e.times) AS n FROM s JOIN unit_w u ON u.g = s.g AND u.x = s.unit JOIN seed_w e ON e.g = s.g AND e.b = u.b AND e.x = s.seed GROUP BY 1, 2, 3, 4),
- rep AS (SELECT rl.g, b, rl.cer, sum(2.0 * tp / n) / any_value(labels) AS score FROM rl JOIN k ON k.g = rl.g AND k.cer = rl.cer GROUP BY 1, 2, 3),
+ rep AS MATERIALIZED (SELECT rl.g, b, rl.cer, sum(2.0 * tp / n) / any_value(labels) AS score FROM rl JOIN k ON k.g = rl.g AND k.cer = rl.cer GROUP BY 1, 2, 3),
  low AS (SELECT {by} AS g, min(cer) AS base FROM p GROUP BY 1),
  fst AS (SELECT rep.g, b, score AS first FROM rep JOIN low ON low.g = rep.g AND low.base = rep.cer),
  sp AS (SELECT rep.g, cer, quantile_cont(score, 0.025) AS lo, quantile_cont(score, 0.975) AS hi, quantile_cont(CASE WHEN first <> 0 THEN score / first END, 0.025) AS ret_lo, quantile_cont(CASE WHEN first <> 0 THEN score / first END, 0.975) AS ret_hi FROM rep LEFT JOIN fst ON fst.g = rep.g AND fst.b = rep.b GROUP BY 1, 2),
@@ -354,27 +368,8 @@ _BIN = "CASE WHEN letters < 1 THEN '0' WHEN letters < 20 THEN '1–19' WHEN lett
 _BINNED = f"SELECT * FROM (SELECT *, {_BIN} AS bin FROM {_P}) WHERE bin IN (SELECT bin FROM (SELECT {_BIN} AS bin, cer, count(*) AS n FROM {_P} GROUP BY 1, 2) GROUP BY 1 HAVING arg_min(n, cer) >= 30)"
 
 
-@query(f"WITH {_curve_sql(_BINNED, 'bin', 50)}, {_LIMITS} SELECT curve.g AS bin, cer, round(point, 9) AS point, round(ret_lo, 9) AS ret_lo, n, c95, c90 FROM curve JOIN lim USING (g)")
+@query(f"WITH {_curve_sql(_BINNED, 'bin', 200)}, {_LIMITS} SELECT curve.g AS bin, cer, round(point, 9) AS point, round(ret_lo, 9) AS ret_lo, n, c95, c90 FROM curve JOIN lim USING (g)")
 def curve_by_size(spark, sf):
-    return _rounded(stats.by_size(table(spark, sf, "predictions").distinct(), "genre", 50), "point", "ret_lo")
-
-
-# The curves with the operators' own numbers of replicates; those above keep the small ones of their SQL.
-
-
-@query()
-def bootstrap_curve_full(spark, sf):
-    c = stats.curve(table(spark, sf, "predictions").distinct(), "genre")
-    return _rounded(c, "point", "lo", "hi", "ret", "ret_lo", "ret_hi")
-
-
-@query()
-def curve_thresholds_full(spark, sf):
-    return stats.thresholds(_rounded(stats.curve(table(spark, sf, "predictions").distinct(), "genre"), "ret_lo"))
-
-
-@query()
-def curve_by_size_full(spark, sf):
     return _rounded(stats.by_size(table(spark, sf, "predictions").distinct(), "genre"), "point", "ret_lo")
 
 
@@ -462,7 +457,46 @@ def uneven_texts(spark, sf):
     return _damage(spark, sf, 5, 1, "uneven", 20).drop("subs")
 
 
-_N_SYN = 10
+@query(f"""WITH f AS (SELECT DISTINCT f.form AS query FROM (SELECT unnest({[f for f in search.FORMULAE]}) AS p), LATERAL (SELECT regexp_replace({_norm('p')}, '[^{_GREEK}]', '', 'g') AS form) f)
+SELECT query FROM f""")
+def formula_queries(spark, sf):
+    return search.formula_queries(spark).distinct()
+
+
+_TOKENS = """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+ ts AS (SELECT doc_id, i, list_filter(string_split_regex(line, '""" + _SPACES + """+'), lambda x: x <> '') AS t FROM l),
+ k AS (SELECT doc_id, i, unnest(t) AS token, unnest(range(len(t))) AS j FROM ts),
+ b AS (SELECT *, coalesce(lag(token) OVER (PARTITION BY doc_id ORDER BY i, j), '.') AS before FROM k)"""
+
+
+@query(f"""WITH {_TOKENS}
+SELECT DISTINCT doc_id, form FROM (SELECT doc_id, regexp_replace({_norm('token')}, '[^{_GREEK}]', '', 'g') AS form FROM b
+ WHERE regexp_matches(token, '^\\P{{L}}*(\\p{{Lu}}|[\\x{{1f88}}-\\x{{1f8f}}\\x{{1f98}}-\\x{{1f9f}}\\x{{1fa8}}-\\x{{1faf}}\\x{{1fbc}}\\x{{1fcc}}\\x{{1ffc}}])') AND NOT contains(token, '▯') AND NOT regexp_matches(before, '[.·;:]$')) WHERE length(form) >= 4""")
+def name_forms(spark, sf):
+    d = table(spark, sf, "documents").where("text is not null").select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("text"), F.lit(False).alias("runs_on"))).alias("raw"))
+    return markup.name_forms(d)
+
+
+_STEM = "CASE " + " ".join(f"WHEN w LIKE '%{e}' AND length(w) >= {len(e) + 4} THEN left(w, length(w) - {len(e)})" for e in T.ENDINGS) + " ELSE w END"
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+ h AS (SELECT DISTINCT regexp_replace({_norm("regexp_extract(line, '^' || '" + _SPACES + "' || '*([^' || '" + _SPACES[1:-1] + "' || ']+)' || '" + _SPACES + "' || '*[.,]', 1)")}, '[^{_GREEK}]', '', 'g') AS w FROM l)
+SELECT DISTINCT {_STEM} AS stem FROM h WHERE length(w) >= 4""")
+def headword_stems(spark, sf):
+    lines = table(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    return lines.select(T.headword_stem("line").alias("stem")).where("stem is not null").distinct()
+
+
+_FORMS_SQL = SQL["name_forms"]
+
+
+@query(f"SELECT form AS query FROM (SELECT form, count(*) AS n FROM ({_FORMS_SQL}) GROUP BY 1) WHERE n >= 2 ORDER BY sha256('names|' || form), form LIMIT 500")
+def name_queries(spark, sf):
+    return search.name_queries(name_forms(spark, sf))
+
+
+_N_SYN = 100
 _IS_TEST, _IS_TRAIN = "split = 'test'", "split = 'train'"
 
 
@@ -471,20 +505,13 @@ def _train_and_test(spark, sf, stage):
     return _units(docs.where("split = 'train'")), _units(docs.where("split = 'test'"))
 
 
-def _test_and_queries(spark, sf):
-    """The tables of the searches that are compared with SQL, with its small set of queries."""
-    stage = Stage(spark, "catalog")
-    train, test = _train_and_test(spark, sf, stage)
-    return train, test, stage.save(search.synthetic_queries(test, _N_SYN).select("query"))
-
-
 def _sets(spark, sf, test, train):
     words = table(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("value"))
     return search.build_queries(test, name_forms(spark, sf), words, train)
 
 
-def _test_and_all_queries(spark, sf):
-    """The tables of a production search: all four query sets at their full size."""
+def _test_and_queries(spark, sf):
+    """The tables of a search: clean training units, test units, and all four query sets at their full size."""
     stage = Stage(spark, "catalog")
     train, test = _train_and_test(spark, sf, stage)
     return train, test, stage.save(_sets(spark, sf, test, train).select("query").distinct())
@@ -495,20 +522,25 @@ _SYN = " UNION ALL ".join(
     for n in range(3, 13)
 )
 _TEST = f"(SELECT doc_id AS unit_id, array_to_string(lines, chr(10)) AS text FROM {_D} WHERE split = 'test')"
+_TRAIN = _TEST.replace("'test'", "'train'")
+_SETS = f"""SELECT set_, query FROM (SELECT 'formulae' AS set_, query FROM ({SQL['formula_queries']}) UNION SELECT 'synthetic', query FROM ({_SYN}) UNION SELECT 'names', query FROM ({SQL['name_queries']})
+ UNION SELECT 'headwords', query FROM (SELECT stem AS query FROM ({SQL['headword_stems']}) WHERE stem IN (SELECT stem FROM ({SQL['headword_stems']}), {_TRAIN} WHERE contains(text, stem)) ORDER BY sha256('headwords|' || stem), stem LIMIT 1000))
+ WHERE query IN (SELECT query FROM (SELECT query FROM ({SQL['formula_queries']}) UNION SELECT query FROM ({_SYN}) UNION SELECT query FROM ({SQL['name_queries']}) UNION SELECT stem FROM ({SQL['headword_stems']})), {_TEST} WHERE contains(text, query))"""
+_Q = f"SELECT DISTINCT query FROM ({_SETS})"
 
 
-@query(f"SELECT query FROM ({_SYN})")
+@query(_Q)
 def search_queries(spark, sf):
     return _test_and_queries(spark, sf)[2]
 
 
-@query(f"SELECT query, unit_id FROM ({_SYN}) JOIN {_TEST} ON contains(text, query)")
+@query(f"SELECT query, unit_id FROM ({_Q}) JOIN {_TEST} ON contains(text, query)")
 def search_exact(spark, sf):
     _, test, queries = _test_and_queries(spark, sf)
     return search.run_methods(test, queries, methods=("exact",))[0].select("query", "unit_id")
 
 
-@query(f"SELECT query, unit_id FROM ({_SYN}) JOIN {_TEST} ON contains(text, query)")
+@query(f"SELECT query, unit_id FROM ({_Q}) JOIN {_TEST} ON contains(text, query)")
 def search_relevance(spark, sf):
     _, test, queries = _test_and_queries(spark, sf)
     return search.relevance(test, queries)
@@ -516,7 +548,7 @@ def search_relevance(spark, sf):
 
 @query()
 def search_distances(spark, sf):
-    _, test, queries = _test_and_all_queries(spark, sf)
+    _, test, queries = _test_and_queries(spark, sf)
     hits, ranked = search.run_methods(test, queries, methods=("lev1", "lev2", "normdist", "minedit"))
     return hits.withColumn("rank", F.lit(None).cast("int")).union(ranked.select("method", "query", "unit_id", "rank"))
 
@@ -525,7 +557,7 @@ def _q_terms(n: int) -> str:
     return f"SELECT query, substr(query, i::BIGINT, {n}) AS g FROM q, LATERAL (SELECT unnest(range(1, length(query) - {n - 2})) AS i)"
 
 
-@query(f"""WITH q AS ({_SYN}), qt AS (SELECT DISTINCT * FROM ({_q_terms(3)})), n AS (SELECT query, count(*) AS n FROM qt GROUP BY 1), u AS (SELECT DISTINCT doc_id AS unit_id, g FROM ({_grams(3, _IS_TEST)})),
+@query(f"""WITH q AS ({_Q}), qt AS (SELECT DISTINCT * FROM ({_q_terms(3)})), n AS (SELECT query, count(*) AS n FROM qt GROUP BY 1), u AS (SELECT DISTINCT doc_id AS unit_id, g FROM ({_grams(3, _IS_TEST)})),
  s AS (SELECT query, unit_id, count(*) / any_value(n)::DOUBLE AS share FROM u JOIN qt USING (g) JOIN n USING (query) GROUP BY 1, 2)
 SELECT query, unit_id, round(share, 9) AS share, row_number() OVER (PARTITION BY query ORDER BY round(share, 9) DESC, unit_id)::INT AS rank FROM s QUALIFY rank <= 100""")
 def search_trigram(spark, sf):
@@ -538,7 +570,7 @@ def _post(where: str, sizes) -> str:
     return " UNION ALL ".join(f"SELECT doc_id AS unit_id, g FROM ({_grams(n, where)})" for n in sizes)
 
 
-@query(f"""WITH q AS ({_SYN}), n AS (SELECT count(*) AS n FROM {_D} WHERE {_IS_TRAIN}), idf AS (SELECT g, ln((1.0 + any_value(n)) / (1 + count(DISTINCT unit_id))) + 1 AS idf FROM ({_post(_IS_TRAIN, (2, 3, 4))}), n GROUP BY 1),
+@query(f"""WITH q AS ({_Q}), n AS (SELECT count(*) AS n FROM {_D} WHERE {_IS_TRAIN}), idf AS (SELECT g, ln((1.0 + any_value(n)) / (1 + count(DISTINCT unit_id))) + 1 AS idf FROM ({_post(_IS_TRAIN, (2, 3, 4))}), n GROUP BY 1),
  u AS (SELECT unit_id, g, count(*) * any_value(idf) AS w FROM ({_post(_IS_TEST, (2, 3, 4))}) JOIN idf USING (g) GROUP BY 1, 2), nu AS (SELECT unit_id, sqrt(sum(w * w)) AS nu FROM u GROUP BY 1),
  qt AS (SELECT query, g, count(*) * any_value(idf) AS wq FROM ({_q_terms(2)} UNION ALL {_q_terms(3)} UNION ALL {_q_terms(4)}) JOIN idf USING (g) GROUP BY 1, 2), nq AS (SELECT query, sqrt(sum(wq * wq)) AS nq FROM qt GROUP BY 1),
  s AS (SELECT query, unit_id, sum(w * wq) / (any_value(nu) * any_value(nq)) AS score FROM u JOIN qt USING (g) JOIN nu USING (unit_id) JOIN nq USING (query) GROUP BY 1, 2)
@@ -548,52 +580,52 @@ def search_tfidf(spark, sf):
     return search.tfidf_scores(train, test, queries).select("query", "unit_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH q AS ({_SYN}), n AS (SELECT count(*) AS n FROM {_D} WHERE {_IS_TRAIN}), idf AS (SELECT g, ln((any_value(n) - count(DISTINCT unit_id) + 0.5) / (count(DISTINCT unit_id) + 0.5) + 1) AS idf FROM ({_post(_IS_TRAIN, (6,))}), n GROUP BY 1),
+@query(f"""WITH q AS ({_Q}), n AS (SELECT count(*) AS n FROM {_D} WHERE {_IS_TRAIN}), idf AS (SELECT g, ln((any_value(n) - count(DISTINCT unit_id) + 0.5) / (count(DISTINCT unit_id) + 0.5) + 1) AS idf FROM ({_post(_IS_TRAIN, (6,))}), n GROUP BY 1),
  u AS (SELECT unit_id, g, count(*) AS tf, any_value(idf) AS idf FROM ({_post(_IS_TEST, (6,))}) JOIN idf USING (g) GROUP BY 1, 2),
- qt AS (SELECT query, g, count(*) AS qtf FROM ({_q_terms(6)}) GROUP BY 1, 2)
-SELECT query, unit_id, round(sum(qtf * idf * tf * 1.3 / (tf + 0.3)), 6) AS score FROM u JOIN qt USING (g) GROUP BY 1, 2""")
+ qt AS (SELECT query, g, count(*) AS qtf FROM ({_q_terms(6)}) GROUP BY 1, 2),
+ s AS (SELECT query, unit_id, sum(qtf * idf * tf * 1.3 / (tf + 0.3)) AS score FROM u JOIN qt USING (g) GROUP BY 1, 2)
+SELECT query, unit_id, round(score, 6) AS score FROM s""")
 def search_bm25(spark, sf):
     train, test, queries = _test_and_queries(spark, sf)
     return search.bm25_scores(train, test, queries).select("query", "unit_id", F.round("score", 6).alias("score"))
 
 
-@query()
-def search_metrics(spark, sf):
-    train, test, queries = _test_and_all_queries(spark, sf)
-    stage = Stage(spark, "metrics")
-    hits, ranked = search.run_methods(test, queries, train)
-    return search.metrics(stage.save(hits), stage.save(ranked), search.relevance(test, queries))
+_RANKED = ("exact", "trigram", "tfidf_cos", "bm25")
 
 
-@query(f"""WITH f AS (SELECT DISTINCT f.form AS query FROM (SELECT unnest({[f for f in search.FORMULAE]}) AS p), LATERAL (SELECT regexp_replace({_norm('p')}, '[^{_GREEK}]', '', 'g') AS form) f)
-SELECT query FROM f""")
-def formula_queries(spark, sf):
-    return search.formula_queries(spark).distinct()
+def _unrounded(name: str) -> str:
+    """The scores of a search's SQL before they are rounded and cut to the best."""
+    return SQL[name].rsplit("\nSELECT", 1)[0] + "\nSELECT * FROM s"
 
 
-_TOKENS = """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
- ts AS (SELECT doc_id, i, list_filter(string_split_regex(line, '""" + _SPACES + """+'), lambda x: x <> '') AS t FROM l),
- k AS (SELECT doc_id, i, unnest(t) AS token, unnest(range(len(t))) AS j FROM ts),
- b AS (SELECT *, coalesce(lag(token) OVER (PARTITION BY doc_id ORDER BY i, j), '.') AS before FROM k)"""
+def _best_sql(name: str, score: str) -> str:
+    return f"SELECT '{name}' AS method, query, unit_id, row_number() OVER (PARTITION BY query ORDER BY round({score}, 9) DESC, unit_id) AS rank FROM {name} WHERE round({score}, 9) > 0 QUALIFY rank <= 100"
 
 
-@query(f"""WITH {_TOKENS}
-SELECT DISTINCT doc_id, form FROM (SELECT doc_id, regexp_replace({_norm('token')}, '[^{_GREEK}]', '', 'g') AS form FROM b
- WHERE regexp_matches(token, '^\\P{{L}}*(\\p{{Lu}}|[\\x{{1f88}}-\\x{{1f8f}}\\x{{1f98}}-\\x{{1f9f}}\\x{{1fa8}}-\\x{{1faf}}\\x{{1fbc}}\\x{{1fcc}}\\x{{1ffc}}])') AND NOT contains(token, '▯') AND NOT regexp_matches(before, '[.·;:]$')) WHERE length(form) >= 4""")
-def name_forms(spark, sf):
-    d = table(spark, sf, "documents").where("text is not null").select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("text"), F.lit(False).alias("runs_on"))).alias("raw"))
-    return markup.name_forms(d)
+@query(f"""WITH rel AS ({SQL['search_relevance']}), q AS ({_Q}), trigram AS ({_unrounded('search_trigram')}), tfidf_cos AS ({_unrounded('search_tfidf')}), bm25 AS ({_unrounded('search_bm25')}),
+ hits AS (SELECT 'exact' AS method, query, unit_id FROM rel UNION ALL SELECT 'trigram', query, unit_id FROM trigram WHERE share >= 0.5),
+ ranked AS ({_best_sql('trigram', 'share')} UNION ALL {_best_sql('tfidf_cos', 'score')} UNION ALL {_best_sql('bm25', 'score')}),
+ found AS (SELECT method, count(*) AS hits, count(rel.query) AS tp FROM hits LEFT JOIN rel USING (query, unit_id) GROUP BY 1),
+ nrel AS (SELECT query, count(*) AS n FROM rel GROUP BY 1),
+ per AS (SELECT method, query, count(CASE WHEN rank <= 20 THEN rel.query END) AS in20, min(CASE WHEN rel.query IS NOT NULL THEN rank END) AS first_, sum(CASE WHEN rel.query IS NOT NULL AND rank <= 10 THEN 1 / log2(rank + 1.0) ELSE 0 END) AS gain FROM ranked LEFT JOIN rel USING (query, unit_id) GROUP BY 1, 2),
+ means AS (SELECT method, avg(in20 / least(n, 20)::DOUBLE) AS recall20, avg(coalesce(1.0 / first_, 0)) AS mrr, avg(gain / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1.0)))) AS ndcg10, count(*) AS n_ranked FROM per JOIN nrel USING (query) GROUP BY 1),
+ p AS (SELECT m.method, tp / hits::DOUBLE AS p, tp / (SELECT count(*) FROM rel)::DOUBLE AS r, recall20, mrr, ndcg10, coalesce(n_ranked, 0) AS n_ranked FROM (SELECT unnest({list(_RANKED)}) AS method) m LEFT JOIN found USING (method) LEFT JOIN means USING (method))
+SELECT method, round(p, 9) AS filter_p, round(r, 9) AS filter_r, round(2 * p * r / (p + r), 9) AS filter_f1, round(recall20, 9) AS recall20, round(mrr, 9) AS mrr, round(ndcg10, 9) AS ndcg10, n_ranked FROM p""")
+def search_metrics(spark, sf):
+    return _metrics(spark, sf, _RANKED)
 
 
-_STEM = "CASE " + " ".join(f"WHEN w LIKE '%{e}' AND length(w) >= {len(e) + 4} THEN left(w, length(w) - {len(e)})" for e in T.ENDINGS) + " ELSE w END"
+@query()
+def search_metrics_distances(spark, sf):
+    return _metrics(spark, sf, ("lev1", "lev2", "normdist", "minedit"))
 
 
-@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
- h AS (SELECT DISTINCT regexp_replace({_norm("regexp_extract(line, '^' || '" + _SPACES + "' || '*([^' || '" + _SPACES[1:-1] + "' || ']+)' || '" + _SPACES + "' || '*[.,]', 1)")}, '[^{_GREEK}]', '', 'g') AS w FROM l)
-SELECT DISTINCT {_STEM} AS stem FROM h WHERE length(w) >= 4""")
-def headword_stems(spark, sf):
-    lines = table(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
-    return lines.select(T.headword_stem("line").alias("stem")).where("stem is not null").distinct()
+def _metrics(spark, sf, methods):
+    train, test, queries = _test_and_queries(spark, sf)
+    stage = Stage(spark, "metrics")
+    hits, ranked = search.run_methods(test, queries, train, methods)
+    got = search.metrics(stage.save(hits), stage.save(ranked), stage.save(search.relevance(test, queries)), methods)
+    return got.select("method", *[F.round(c, 9).alias(c) for c in ("filter_p", "filter_r", "filter_f1", "recall20", "mrr", "ndcg10")], "n_ranked")
 
 
 @query(f"SELECT doc_id, letters, array_to_string(list_transform(words, lambda x: {_norm('x')}), chr(10)) AS text FROM {_D} WHERE len(words) > 0")
@@ -621,7 +653,7 @@ def model_linelen(spark, sf):
     return pipeline.experiment(_docs(spark, sf), "genre", "linelen", cers=(0,), seeds=(1,))
 
 
-@query(f"""WITH q AS ({_SYN}), seg AS (SELECT unit_id, unnest(string_split_regex(text, '[▯\\n]')) AS s FROM {_TEST}),
+@query(f"""WITH q AS ({_Q}), seg AS (SELECT unit_id, unnest(string_split_regex(text, '[▯\\n]')) AS s FROM {_TEST}),
  pairs AS (SELECT query, unit_id, s, length(query)::BIGINT AS m FROM q, seg WHERE length(s) > 0),
  at AS (SELECT query, unit_id, s, m, unnest(range(1, length(s) + 1)) AS i FROM pairs),
  sub AS (SELECT query, unit_id, m, substr(s, i, l) AS x FROM (SELECT query, unit_id, s, m, i, unnest(range(greatest(1, m - 3), m + 4)) AS l FROM at) WHERE i + l - 1 <= length(s)),
@@ -634,68 +666,15 @@ def search_fuzzy(spark, sf):
 
 @query()
 def search_curve(spark, sf):
-    _, _, queries = _test_and_all_queries(spark, sf)
+    _, _, queries = _test_and_queries(spark, sf)
     return pipeline.search_curve(_docs(spark, sf), queries, (0, 20))
 
 
-_FORMS_SQL = SQL["name_forms"]
-
-
-@query(f"SELECT form AS query FROM (SELECT form, count(*) AS n FROM ({_FORMS_SQL}) GROUP BY 1) WHERE n >= 2 ORDER BY sha256('names|' || form), form LIMIT 500")
-def name_queries(spark, sf):
-    return search.name_queries(name_forms(spark, sf))
-
-
-@query()
+@query(_SETS.replace("SELECT set_, query", 'SELECT set_ AS "set", query', 1))
 def query_sets(spark, sf):
     return _sets(spark, sf, *_train_and_test(spark, sf, Stage(spark, "catalog"))[::-1])
 
 
-# The searches over the production sets; those above keep the small set of their SQL.
-
-
-@query()
-def search_queries_full(spark, sf):
-    return _test_and_all_queries(spark, sf)[2]
-
-
-@query()
-def search_exact_full(spark, sf):
-    _, test, queries = _test_and_all_queries(spark, sf)
-    return search.run_methods(test, queries, methods=("exact",))[0].select("query", "unit_id")
-
-
-@query()
-def search_relevance_full(spark, sf):
-    _, test, queries = _test_and_all_queries(spark, sf)
-    return search.relevance(test, queries)
-
-
-@query()
-def search_fuzzy_full(spark, sf):
-    _, test, queries = _test_and_all_queries(spark, sf)
-    return search.run_methods(test, queries, methods=("lev1", "lev2", "normdist"))[0]
-
-
-@query()
-def search_trigram_full(spark, sf):
-    _, test, queries = _test_and_all_queries(spark, sf)
-    s = search.trigram_share(test, queries)
-    return search.best(s, "share").join(s, ["query", "unit_id"]).select("query", "unit_id", F.round("share", 9).alias("share"), "rank")
-
-
-@query()
-def search_tfidf_full(spark, sf):
-    train, test, queries = _test_and_all_queries(spark, sf)
-    return search.tfidf_scores(train, test, queries).select("query", "unit_id", F.round("score", 6).alias("score"))
-
-
-@query()
-def search_bm25_full(spark, sf):
-    train, test, queries = _test_and_all_queries(spark, sf)
-    return search.bm25_scores(train, test, queries).select("query", "unit_id", F.round("score", 6).alias("score"))
-
-
 _BUILT = ("date_lo", "date_hi", "date_mid", "date_width", "gram_type", "gram_subtype", "tm_in_both", "split", "fold")
 
 

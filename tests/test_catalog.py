@@ -45,12 +45,12 @@ def test_searches_have_the_full_sets(spark):
     sets = [tuple(r) for r in q["query_sets"](spark, SF).collect()]
     count = {s: sum(x == s for x, _ in sets) for s in {s for s, _ in sets}}
     assert {"synthetic", "names", "headwords"} <= set(count) and count["synthetic"] == 1000, count  # no formula stands in these tables
-    full = {r["query"] for r in q["search_queries_full"](spark, SF).collect()}
+    full = {r["query"] for r in q["search_queries"](spark, SF).collect()}
     assert full == {x for _, x in sets}
     given = spark.read.parquet(f"{SF}/corpus.parquet").where("doc_id is not null").select("doc_id", "lines", "split").collect()
     texts = {r["doc_id"]: "\n".join(r["lines"] or []) for r in given if (r["split"] or "").strip(" \t").lower() == "test"}
     want = {(x, d) for d, t in texts.items() for x in full if x in t}
-    assert {tuple(r) for r in q["search_relevance_full"](spark, SF).collect()} == want
+    assert {tuple(r) for r in q["search_relevance"](spark, SF).collect()} == want
     near = {(r["query"], r["unit_id"]) for r in q["search_distances"](spark, SF).where("method = 'lev1'").collect()}
     assert want <= near and {x for x, _ in near} == full
 
@@ -88,13 +88,13 @@ def test_full_curves(spark, tmp_path):
     spark.createDataFrame([(*p, 10) for p in preds], "cer double, seed int, unit string, y string, pred string, letters int").write.parquet(str(tmp_path / "predictions.parquet"))
     q = entry.queries()
     want = brute_curve(preds, "", 1000)
-    got = {x["cer"]: x for x in q["bootstrap_curve_full"](spark, str(tmp_path)).collect()}
+    got = {x["cer"]: x for x in q["bootstrap_curve"](spark, str(tmp_path)).collect()}
     assert set(got) == set(want)
     for c, (point, lo, ret_lo) in want.items():
         assert np.allclose([got[c]["point"], got[c]["lo"], got[c]["ret_lo"]], [point, lo, ret_lo], atol=1e-8), c
     limits = tuple(max((c for c in want if all(want[x][2] >= least for x in want if x <= c)), default=None) for least in (0.95, 0.9))
-    assert tuple(q["curve_thresholds_full"](spark, str(tmp_path)).first()) == limits
-    sized = {x["cer"]: x["ret_lo"] for x in q["curve_by_size_full"](spark, str(tmp_path)).collect()}
+    assert tuple(q["curve_thresholds"](spark, str(tmp_path)).first()) == limits
+    sized = {x["cer"]: x["ret_lo"] for x in q["curve_by_size"](spark, str(tmp_path)).collect()}
     assert np.allclose([sized[c] for c in sorted(sized)], [x[2] for _, x in sorted(brute_curve(preds, "1–19", 200).items())], atol=1e-8)
 
 
