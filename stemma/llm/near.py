@@ -17,16 +17,16 @@ from .sketch import merged
 CHUNK = 4096
 #: Texts of a star from which on its members, known to be one group, are not compared with each other.
 GROUP = 64
-#: Hash functions by which a text looks for a centre.
-TRIES = 4
+#: Hash functions by which a text looks for a centre, and how many must name it.
+TRIES, AGREE = 6, 2
 _LEAF = 16
 
 
 def star_links(texts: DataFrame) -> DataFrame:
-    """Pairs of text ids (``a``, ``b``) of a text and a centre that it may be alike to, at most ``TRIES`` a text.
+    """Pairs of text ids (``a``, ``b``) of a text and a centre that it may be alike to, at most ``TRIES / AGREE`` a text.
 
     Under each of some hash functions alike sets mostly have one smallest hash, and the smallest id with that
-    hash is the centre: an aggregate with partial sums, and a join with one row a hash. A large group of near-copies is so
+    hash is the centre: an aggregate with partial sums, and a join with one row a hash. ``AGREE`` of them must name the same. A large group of near-copies is so
     tied together by as many links as it has members instead of all its pairs. What is not found here is found by the trie.
     """
 
@@ -41,7 +41,7 @@ def star_links(texts: DataFrame) -> DataFrame:
 
     lows = texts.select("id", "text").mapInArrow(least, "id long, low long")
     centres = lows.groupBy("low").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").drop("z")
-    return lows.join(centres, "low").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    return lows.join(centres, "low").where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= AGREE).select("a", "b")
 
 
 def trie_pairs(block: np.ndarray, sketches: list[bytes], n: np.ndarray, rank: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
