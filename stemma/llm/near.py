@@ -138,10 +138,10 @@ def _of_one_width(block, bits, band, n, rank, group, own) -> tuple[np.ndarray, n
     return (np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])) if found else (np.zeros(0, np.int64),) * 2
 
 
-def group_counters(texts: DataFrame, counters: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each counter of :func:`frequencies`: texts of a large group, and the least and greatest mark of such a group (0: none).
+def group_counters(texts: DataFrame, counters: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The counters of :func:`frequencies` on which texts of large groups fall, how many, and the least and greatest mark of such a group.
 
-    As many as the frequencies, and empty where there is no large group.
+    No more than the frequencies, and empty where there is no large group.
     """
     top = 2**31 - 1
 
@@ -163,7 +163,8 @@ def group_counters(texts: DataFrame, counters: int) -> tuple[np.ndarray, np.ndar
         return out.ravel()
 
     out = merged(texts.where("large").select("id", "text", "group"), count, 3 * counters, np.int32, join).reshape(-1, 3)
-    return out[:, 0].copy(), top - out[:, 1], out[:, 2].copy()
+    used = np.flatnonzero(out[:, 0])
+    return used, out[used, 0].copy(), top - out[used, 1], out[used, 2].copy()
 
 
 def _marks(groups: np.ndarray) -> np.ndarray:
@@ -207,15 +208,15 @@ def block_keys(key: np.ndarray, ids: np.ndarray, f: np.ndarray, heavy_f: np.ndar
     return np.concatenate(out), np.concatenate(keys)
 
 
-def trie_candidates(rows: DataFrame, counts: np.ndarray, large: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
+def trie_candidates(rows: DataFrame, counts: np.ndarray, large: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
     """Pairs of text ids of different groups that share a prefix shingle and pass the trie self-join of its block.
 
     ``rows`` has ``id``, ``text``, ``group`` (the text's own id, or that of its large group) and ``large``.
     """
-    shared = rows.sparkSession.sparkContext.broadcast((counts, *large))  # 64 MB at most
+    shared = rows.sparkSession.sparkContext.broadcast((counts, *large))  # 16 MB, with all counters in use by large groups 96 MB, at most
 
     def emit(batches):
-        f, heavy_f, low, high = shared.value
+        f, used, heavy_f, low, high = shared.value
         for texts, ids, groups in parts(batches, "group"):
             group = np.array(groups, np.int64)
             row, h = distinct_shingles(texts)
@@ -223,9 +224,13 @@ def trie_candidates(rows: DataFrame, counts: np.ndarray, large: tuple[np.ndarray
             bits = pa.array(wide_parity(row, h, n), pa.binary())
             r, key = row[at], h[at]
             c = (key % np.uint64(len(f))).astype(np.int64)
-            single = low[c] == high[c]  # with several large groups on a counter all of them are cut as the others are
-            dense = np.minimum(np.where(single, heavy_f[c], 0), f[c])
-            i, key = block_keys(key, ids[r], f[c], dense, single & (dense > 0) & (_marks(group)[r] == high[c]))
+            dense, heavy = np.zeros(len(c), np.int64), np.zeros(len(c), bool)
+            if len(used):
+                u = np.minimum(np.searchsorted(used, c), len(used) - 1)
+                single = (used[u] == c) & (low[u] == high[u])  # with several large groups on a counter all of them are cut as the others are
+                dense = np.minimum(np.where(single, heavy_f[u], 0), f[c])
+                heavy = single & (dense > 0) & (_marks(group)[r] == high[u])
+            i, key = block_keys(key, ids[r], f[c], dense, heavy)
             r, rank = r[i], rank[i]
             yield pa.record_batch([key.view(np.int64), ids[r], group[r], n[r] << 32 | rank, bits.take(pa.array(r))], ["k", "id", "grp", "place", "bits"])
 

@@ -75,8 +75,8 @@ def parts(batches: Iterator[pa.RecordBatch], extra: str | None = None) -> Iterat
 
 
 def counters_for(letters: int) -> int:
-    """How many counters serve texts of so many letters: a quarter, up to ``MOST_COUNTERS``."""
-    return sized(letters // 4, 1 << 16, MOST_COUNTERS)
+    """How many counters serve texts of so many letters: a sixteenth, as shingles recur, up to ``MOST_COUNTERS``."""
+    return sized(letters // 16, 1 << 16, MOST_COUNTERS)
 
 
 def frequencies(texts: DataFrame, counters: int) -> np.ndarray:
