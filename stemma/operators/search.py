@@ -162,18 +162,67 @@ def trigram_share(units: DataFrame, queries: DataFrame) -> DataFrame:
 TFIDF_SIZES = (2, 3, 4)
 
 
-def tfidf_scores(train: DataFrame, units: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query``, ``unit_id``, ``score``: cosine of tf-idf vectors of 2- to 4-grams, idf from the clean training units."""
+def tfidf_scores(train: DataFrame, units: DataFrame, queries: DataFrame, top: int | None = None) -> DataFrame:
+    """``query``, ``unit_id``, ``score``: cosine of tf-idf vectors of 2- to 4-grams, idf from the clean training units.
+
+    The queries' vectors, a stated set, go to the tasks in blocks of bounded size, and each unit is scored against all of a
+    block where its vector is, so that pairs which share a bigram are not shuffled. With ``top`` come only the
+    best of each task and query, by rounded score and id: all that a ranking of that length needs.
+    """
     n = train.count()
     idf = document_frequency(train, TFIDF_SIZES).select("term", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"))
     weighted = lambda p: p.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    u = Stage(units.sparkSession, "tfidf").save(weighted(postings(units, TFIDF_SIZES)).select("unit_id", "term", "w"))  # read twice
-    norm = u.groupBy("unit_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nu"))
+    stage = Stage(units.sparkSession, "tfidf")
+    u = stage.save(weighted(postings(units, TFIDF_SIZES)).select("unit_id", "term", "w"))  # read for norms, and once a block
+    norm = u.groupBy("unit_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     qs = queries.where("query <> ''").select(F.col("query").alias("unit_id"), F.col("query").alias("text")).distinct()
-    q = weighted(postings(qs, TFIDF_SIZES)).select(F.col("unit_id").alias("query"), "term", F.col("w").alias("wq"))
-    qn = q.groupBy("query").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("nq"))
-    dot = u.join(q, "term").groupBy("query", "unit_id").agg(F.sum(F.col("w") * F.col("wq")).alias("dot"))
-    return dot.join(norm, "unit_id").join(qn, "query").select("query", "unit_id", (F.col("dot") / (F.col("nu") * F.col("nq"))).alias("score"))
+    q = stage.save(weighted(postings(qs, TFIDF_SIZES)).select(F.col("unit_id").alias("query"), "term", F.col("w").alias("wq")))
+    kind = units.schema["unit_id"].dataType.simpleString()
+
+    def block(names: list[str]) -> DataFrame:
+        own = q.where(F.col("query").isin(names)) if len(names) < 100 else q.join(F.broadcast(units.sparkSession.createDataFrame([(x,) for x in names], "query string")), "query")
+        rows = own.orderBy("term", "query").toPandas()
+        terms = sorted(set(rows["term"]))
+        number = {x: i for i, x in enumerate(names)}
+        at = rows["query"].map(number).to_numpy(np.int64) if len(rows) else np.zeros(0, np.int64)
+        weight = rows["wq"].to_numpy(np.float64) if len(rows) else np.zeros(0)
+        length = np.sqrt(np.bincount(at, weight * weight, len(names)))
+        edge = np.searchsorted(rows["term"].to_numpy(object), np.array([*terms, None], object)[:-1]) if terms else np.zeros(0, np.int64)
+        sent = units.sparkSession.sparkContext.broadcast((names, {t: i for i, t in enumerate(terms)}, np.r_[edge, len(at)].astype(np.int64), at, weight, length))
+        held = u.join(F.broadcast(units.sparkSession.createDataFrame([(t,) for t in terms], "term string")), "term") if terms else u.limit(0)
+        vectors = held.groupBy("unit_id").agg(F.collect_list(F.struct("term", "w")).alias("v")).join(norm, "unit_id")  # no more than the queries' terms
+
+        def run(batches):
+            names, ids, edge, at, weight, length = sent.value
+            best: list[list[tuple]] = [[] for _ in names] if top else []
+            for batch in batches:
+                out: list[tuple[np.ndarray, np.ndarray]] = []
+                own_ids = batch.column("unit_id")
+                for v, norm_ in zip(batch.column("v").to_pylist(), batch.column("norm").to_pylist()):
+                    t = np.array([ids[x["term"]] for x in v], np.int64)
+                    size = edge[t + 1] - edge[t]
+                    i = np.repeat(edge[t] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                    score = np.bincount(at[i], np.repeat([x["w"] for x in v], size) * weight[i], len(names))
+                    some = np.flatnonzero(score)
+                    out.append((some, score[some] / (norm_ * length[some])))
+                if top:
+                    for unit, (some, score) in zip(own_ids.to_pylist(), out):
+                        for i, x in zip(some.tolist(), score.tolist()):
+                            best[i].append((-round(x, 9), unit, x))
+                            if len(best[i]) >= 4 * top:
+                                best[i] = sorted(best[i])[:top]
+                    continue
+                yield rows_of([names[i] for some, _ in out for i in some.tolist()], own_ids.take(pa.array(np.repeat(np.arange(len(out)), [len(some) for some, _ in out]))), np.concatenate([x for _, x in out]) if out else np.zeros(0))
+            for i, x in enumerate(best):
+                x = sorted(x)[:top]
+                yield rows_of([names[i]] * len(x), pa.array([y[1] for y in x], pa.string() if kind == "string" else pa.int64()), [y[2] for y in x])
+
+        def rows_of(query, unit, score):
+            return pa.record_batch([pa.array(query, pa.string()), unit, pa.array(score, pa.float64())], ["query", "unit_id", "score"])
+
+        return vectors.select("unit_id", "v", "norm").mapInArrow(run, f"query string, unit_id {kind}, score double")
+
+    return _stacked([block(names) for names in _blocks(queries)])
 
 
 def bm25_scores(train: DataFrame, units: DataFrame, queries: DataFrame, n: int = BM25_N, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
@@ -225,7 +274,7 @@ def run_methods(units: DataFrame, queries: DataFrame, train: DataFrame | None =
         add(hits, "trigram", s.where("share >= 0.5").select("query", "unit_id"))
         add(ranked, "trigram", best(s, "share", top))
     if "tfidf_cos" in methods:
-        add(ranked, "tfidf_cos", best(tfidf_scores(train, units, queries), "score", top))
+        add(ranked, "tfidf_cos", best(tfidf_scores(train, units, queries, top), "score", top))
     if "bm25" in methods:
         add(ranked, "bm25", best(bm25_scores(train, units, queries), "score", top))
     empty = units.sparkSession.createDataFrame([], f"method string, query string, unit_id {units.schema['unit_id'].dataType.simpleString()}, rank int")
