@@ -82,7 +82,8 @@ def brute_curve(preds, g, boots):
     return {c: (f1(c, lambda *_: 1), np.percentile(scores[c], 2.5), np.percentile(ret[c], 2.5)) for c in cers}
 
 
-def test_full_curves(spark, tmp_path):
+def test_full_curves(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("stemma.operators.stats.DRAWS", 5)
     r = random.Random(7)
     preds = [(c, s, f"u{u:02}", y := "ab"[u % 2], y if r.random() > c / 20 else "ab"[1 - u % 2]) for c in (0.0, 2.0, 8.0) for s in (1, 2) for u in range(16)]
     spark.createDataFrame([(*p, 10) for p in preds], "cer double, seed int, unit string, y string, pred string, letters int").write.parquet(str(tmp_path / "predictions.parquet"))
