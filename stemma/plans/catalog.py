@@ -656,7 +656,7 @@ def model_linelen(spark, sf):
 @query(f"""WITH q AS ({_Q}), seg AS (SELECT unit_id, unnest(string_split_regex(text, '[▯\\n]')) AS s FROM {_TEST}),
  pairs AS (SELECT query, unit_id, s, length(query)::BIGINT AS m FROM q, seg WHERE length(s) > 0),
  at AS (SELECT query, unit_id, s, m, unnest(range(1, length(s) + 1)) AS i FROM pairs),
- sub AS (SELECT query, unit_id, m, substr(s, i, l) AS x FROM (SELECT query, unit_id, s, m, i, unnest(range(greatest(1, m - 3), m + 4)) AS l FROM at) WHERE i + l - 1 <= length(s)),
+ sub AS (SELECT query, unit_id, m, substr(s, i, l) AS x FROM (SELECT query, unit_id, s, m, i, unnest(range(greatest(1, m - greatest(2, m // 4)), m + greatest(2, m // 4) + 1)) AS l FROM at) WHERE i + l - 1 <= length(s) AND (m >= 12 OR contains(substr(s, i, l), left(query, m // 3)) OR contains(substr(s, i, l), substr(query, m // 3 + 1, m // 3)) OR contains(substr(s, i, l), substr(query, 2 * (m // 3) + 1)))),
  best AS (SELECT query, unit_id, m, min(levenshtein(translate(query, '{_GREEK}', '{_ASCII}'), translate(x, '{_GREEK}', '{_ASCII}'))) AS d FROM (SELECT DISTINCT * FROM sub) GROUP BY 1, 2, 3)
 SELECT 'lev1' AS method, query, unit_id FROM best WHERE d <= 1 UNION ALL SELECT 'lev2', query, unit_id FROM best WHERE d <= 2 UNION ALL SELECT 'normdist', query, unit_id FROM best WHERE 4 * d <= m""".replace(" at AS (", " place AS (").replace("FROM at)", "FROM place)"))
 def search_fuzzy(spark, sf):
