@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
+from bisect import bisect_left
+from itertools import accumulate
+from math import gcd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,47 +50,134 @@ def hook_and_shortcut(edges: DataFrame, record: str = "record", key: str = "key"
     return parent.withColumnRenamed("parent", "root")
 
 
-#: Longest bitset of reachable totals.
-WINDOW = 1 << 20
+def _grown(bits: int, weights: list[int], width: int) -> int:
+    """The totals below ``width`` that can be reached from those of ``bits`` with the weights, as a bitset."""
+    mask = (1 << width) - 1
+    for w in weights:
+        if w < width:
+            bits |= (bits << w) & mask
+    return bits
+
+
+def _lowest(bits: int) -> int:
+    return (bits & -bits).bit_length() - 1
+
+
+def _first(weights: list[int], lo: int, hi: int) -> tuple[int, int] | None:
+    """How many of the first weights it takes to reach a total from ``lo`` to ``hi``, and the largest such total; None if all do not.
+
+    A total of weights is the sum of all less the total of those left out, so the bitset need only be as long as the
+    smaller of the two; it is begun again at twice the length where it turns out too short.
+    """
+    sums = [0, *accumulate(weights)]
+    start = bisect_left(sums, lo)
+    if start == len(sums):
+        return None
+    if sums[start] <= hi:
+        return start, sums[start]
+    width = 0
+    while True:
+        width = max(2 * width, min(hi, sums[start] - lo) + 1)
+        bits, mask = _grown(1, weights[: start - 1], width), (1 << width) - 1
+        for i in range(start, len(sums)):
+            if min(hi, sums[i] - lo) >= width:
+                start = i
+                break
+            if weights[i - 1] < width:
+                bits |= (bits << weights[i - 1]) & mask
+            if hi < width:
+                seen = (bits >> lo) & ((1 << hi - lo + 1) - 1)
+                if seen:
+                    return i, lo + seen.bit_length() - 1
+            else:
+                seen = (bits >> sums[i] - hi) & ((1 << hi - lo + 1) - 1)
+                if seen:
+                    return i, hi - _lowest(seen)
+        else:
+            return None
+
+
+def _made_of(weights: list[int], total: int) -> list[int]:
+    """Places of weights that sum to ``total``, which can be reached; a later weight is used only where the earlier ones don't do.
+
+    From the last weight to the first, either what is still to be made or what is still to be left out is known. Bitsets
+    are made anew for eighths of the weights, so that no more than eight a level are held, and only as far down as these reach.
+    """
+    sums, places = [0, *accumulate(weights)], []
+    turned = 2 * total > sums[-1]
+
+    def back(bits: int, off: int, a: int, b: int, rest: int) -> int:
+        if b - a == 1:
+            unused = rest - weights[a] if turned else rest
+            if unused >= 0 and bits >> unused - off & 1:
+                return unused
+            places.append(a)
+            return rest if turned else rest - weights[a]
+        low, step = max(0, rest - sums[b] + sums[a]), (b - a + 7) // 8
+        width, cuts = rest - low + 1, range(a, b, step)
+        marks = [(bits >> low - off) & ((1 << width) - 1)]
+        for c in cuts[1:]:
+            marks.append(_grown(marks[-1], weights[c - step : c], width))
+        for c in reversed(cuts):
+            rest = back(marks.pop(), low, c, min(c + step, b), rest)
+        return rest
+
+    if weights:
+        back(1, 0, 0, len(weights), sums[-1] - total if turned else total)
+    return places
+
+
+def _around(weights: list[int], target: int, below: int, above: int) -> list[int]:
+    """The largest total of weights up to ``target`` and the smallest beyond, where they are no further than ``below`` and ``above``."""
+    every = sum(weights)
+    if every <= target:
+        return [every]
+    left = every - target  # what is left out where the target is met
+    if target + above <= left + below:
+        bits = _grown(1, weights, target + above + 1)
+        lower, upper = (bits & ((1 << target + 1) - 1)).bit_length() - 1, bits >> target + 1
+        return [lower, target + 1 + _lowest(upper)] if upper else [lower]
+    bits = _grown(1, weights, left + below + 1)
+    lower, upper = bits >> left, every - (bits & ((1 << left) - 1)).bit_length() + 1
+    return [target - _lowest(lower), upper] if lower else [upper]
 
 
 def _closest(sizes: dict[int, int], target: int) -> dict[int, int]:
     """How many groups of each size have a total closest to ``target``, by a bitset of the totals that can be reached.
 
-    The multiplicities enter in binary parts, and an array notes for each total the part that first
-    reached it. Groups of one record come last, by arithmetic: once a total lies no further below the target
-    than there are of these, the rest is theirs. Ties go to the smaller total.
+    The multiplicities enter in binary parts, the largest sizes first, and no more parts than it takes. Groups of one
+    record come last, by arithmetic: once a total lies no further below the target than there are of these, the rest is
+    theirs. A group larger than the target can only be taken alone. Ties go to the smaller total.
     """
-    ones = max(0, sizes.get(1, 0))
-    parts = []
-    for size in sorted((s for s, n in sizes.items() if s > 1 and n > 0), reverse=True):
+    if target <= 0:
+        return {}
+    ones, parts = max(0, sizes.get(1, 0)), []
+    for size in sorted((s for s, n in sizes.items() if 1 < s <= target and n > 0), reverse=True):
         n, k = min(sizes[size], target // size + 1), 1
         while n > 0:
             parts.append((size, min(k, n)))
             n, k = n - k, 2 * k
-    if target <= 0:
-        return {}
-    width = target + max((s for s, _ in parts), default=0) + 1
-    mask, bits, first = (1 << width) - 1, 1, np.full(width, -1, np.int32)
-    reach = ((1 << min(ones, target) + 1) - 1) << (target - min(ones, target))
-    for i, (size, k) in enumerate(parts):
-        if bits & reach:
-            break
-        new = (bits << (size * k)) & mask & ~bits
-        if new:
-            raw = np.frombuffer(new.to_bytes((width + 7) // 8, "little"), np.uint8)
-            first[np.flatnonzero(np.unpackbits(raw, bitorder="little")[:width])] = i
-            bits |= new
-    reached = np.flatnonzero(np.r_[True, first[1:] >= 0])
-    filled = reached + np.clip(target - reached, 0, ones)
-    best = np.lexsort((-reached, filled, np.abs(filled - target)))[0]
-    total, taken = int(reached[best]), {}
-    if filled[best] > total:
-        taken[1] = int(filled[best]) - total
-    while total > 0:
-        size, k = parts[first[total]]
+    unit = 1 if ones else gcd(*(s for s, _ in parts)) or 1
+    weights, over = [s // unit * k for s, k in parts], target % unit
+    goal = target // unit + (2 * over > unit)  # no total comes closer than the next multiple
+    found = _first(weights, max(0, goal - ones), goal)
+    if found:
+        used, totals = found[0], [found[1]]
+    else:
+        rest = target // unit
+        for w in weights:
+            rest -= w if w <= rest else 0
+        used, totals = len(weights), _around(weights, target // unit, rest + 1, max(0, rest - ones) + 1)
+    filled = {t * unit + min(ones, max(0, target - t * unit)): t for t in totals}
+    alone = sorted(s for s, n in sizes.items() if s > target and n > 0)[:1]
+    best = min([*filled, *alone], key=lambda t: (abs(t - target), t))
+    if best in alone:
+        return {best: 1}
+    total = filled[best]
+    taken = {1: best - total * unit} if best > total * unit else {}
+    for i in _made_of(weights[:used], total):
+        size, k = parts[i]
         taken[size] = taken.get(size, 0) + k
-        total -= size * k
     return taken
 
 
@@ -100,26 +190,19 @@ def subset_sum(sizes: dict[int, int], target: int) -> dict[int, int]:
 
     ``sizes`` maps size to multiplicity. First the target's share of the groups of each size is taken, rounded
     down, so that a split has groups of all sizes; the rest, less than one group of each size, is a subset sum over
-    what remains, of at most ``WINDOW`` totals (a larger rest takes its largest groups first). Where that misses the target and all
-    totals fit the window, the subset sum of the whole is taken instead if it is closer. So work and memory don't grow with the records.
+    what remains. Where that misses the target, the subset sum of the whole is taken instead if it is no further off.
+    The rule is the same for all numbers of records.
     """
     sizes = {s: n for s, n in sizes.items() if s > 0 and n > 0}
     whole = _total(sizes)
     if target <= 0 or not whole:
         return {}
     taken = {s: n * min(target, whole) // whole for s, n in sizes.items()}
-    rest = target - _total(taken)
-    for s in sorted(sizes, reverse=True):
-        more = min(sizes[s] - taken[s], max(0, rest - WINDOW // 2) // s)
-        taken[s] += more
-        rest -= more * s
-    if rest <= WINDOW // 2:
-        for s, n in _closest({s: n - taken[s] for s, n in sizes.items() if s <= WINDOW // 2}, rest).items():
-            taken[s] += n
+    for s, n in _closest({s: n - taken[s] for s, n in sizes.items()}, target - _total(taken)).items():
+        taken[s] += n
     taken = {s: n for s, n in taken.items() if n}
-    if _total(taken) != target and target + max(sizes) <= WINDOW:
-        exact = _closest(sizes, target)
-        taken = min(exact, taken, key=lambda t: (abs(_total(t) - target), _total(t)))
+    if _total(taken) != target:
+        taken = min(_closest(sizes, target), taken, key=lambda t: (abs(_total(t) - target), _total(t)))
     return taken
 
 

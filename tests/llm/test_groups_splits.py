@@ -62,6 +62,26 @@ def test_subset_sum():
         assert abs(got - target) == min(abs(t - target) for t in sums), (sizes, target)
 
 
+def test_subset_sum_at_every_size():
+    r = random.Random(5)
+    for _ in range(40):
+        sizes = {r.randrange(2, 40): r.randrange(1, 6) for _ in range(r.randrange(1, 6))}
+        target = r.randrange(1, sum(s * n for s, n in sizes.items()))
+        large = splits.subset_sum({s * 10**6: n for s, n in sizes.items()}, target * 10**6)
+        assert large == {s * 10**6: n for s, n in splits.subset_sum(sizes, target).items()}, (sizes, target)
+    for _ in range(40):
+        sizes = {r.randrange(1, 2_000_000): r.randrange(1, 4) for _ in range(r.randrange(1, 6))} | {1: r.randrange(0, 3), 7: r.randrange(0, 3)}
+        whole = sum(s * n for s, n in sizes.items())
+        target = r.choice([whole // 10, whole // 3, r.randrange(1, whole)])
+        sums = {0}
+        for s, n in sizes.items():
+            sums = {t + s * k for t in sums for k in range(n + 1)}
+        taken = splits.subset_sum(sizes, target)
+        assert all(0 < n <= sizes[s] for s, n in taken.items())
+        assert sum(s * n for s, n in taken.items()) == min(sums, key=lambda t: (abs(t - target), t)), (sizes, target)
+    assert splits.subset_sum({2_000_000: 1, 3_000_000: 1, 5_000_000: 1, 7: 2}, 5_000_007) in ({5_000_000: 1, 7: 1}, {2_000_000: 1, 3_000_000: 1, 7: 1})
+
+
 def test_subset_sum_of_many_records():
     began = time.time()
     sizes = {s: max(1, 10**9 // (3 * s**2)) for s in range(1, 30_000)} | {2_000_000: 3, 90_000_000: 2}
