@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stemma.functions.distance import best_match
 from stemma.operators import models, search, stats
+from stemma.plans import pipeline
 
 from .conftest import rows
 
@@ -184,3 +185,38 @@ def test_tfidf_keeps_every_ngram(spark):
     got = {x["doc_id"]: x["features"] for x in model.features(spark.createDataFrame([("p", [probe]), ("none", [])], "doc_id string, lines array<string>")).collect()}
     assert got["p"].indices.tolist() == sorted(want) and np.allclose(got["p"].values, [want[i] / norm for i in sorted(want)])
     assert got["none"].numNonzeros() == 0
+
+
+def test_letterbag_is_sparks_softmax(spark, monkeypatch):
+    """Hashes, weights and steps are those of HashingTF and LogisticRegression, with blocks in memory and in files."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import HashingTF, Normalizer, StringIndexer
+
+    r = random.Random(8)
+    texts = ["".join(r.choice("αβγδ▯x€" + "εζη"[i % 3] * 2) for _ in range(r.randrange(0, 60))) for i in range(90)]
+    docs = spark.createDataFrame([(f"d{i}", [t], 10, "xyz"[i % 3]) for i, t in enumerate(texts)] + [("none", [], 0, "x")], "doc_id string, lines array<string>, letters int, y string")
+    buckets = 3000
+    terms = docs.withColumn("terms", models.char_ngrams(F.array_join("lines", "\n"), (1, 5)))
+    x = Normalizer(inputCol="tf", outputCol="features", p=1.0).transform(HashingTF(inputCol="terms", outputCol="tf", numFeatures=buckets).transform(terms))
+    x = StringIndexer(inputCol="y", outputCol="label", stringOrderType="alphabetAsc").fit(x).transform(x)
+    for n in (3, 100):
+        head = LogisticRegression(maxIter=n, regParam=1e-6, standardization=False, family="multinomial").fit(x)
+        want = {z["doc_id"]: z["probability"].toArray() for z in head.transform(x).collect()}
+        for block, held in ((1 << 20, 1 << 30), (200, 0)):
+            monkeypatch.setattr(models.letterbag, "BLOCK", block)
+            monkeypatch.setattr(models.letterbag, "HELD", held)
+            labels, weights, intercept = models.letterbag.fitted(zip([*texts, ""], [*("xyz"[i % 3] for i in range(90)), "x"]), (1, 5), buckets, n)
+            got = models.letterbag.probabilities(models.letterbag.margins(models.letterbag.packed([*texts, ""], (1, 5), buckets, fit=False), weights) + intercept)
+            off = max(abs(g - want[d]).max() for g, d in zip(got, [*(f"d{i}" for i in range(90)), "none"]))
+            assert labels == ["x", "y", "z"] and off < 1e-6, (n, block, off)
+
+
+def test_folds_are_fitted_side_by_side(spark):
+    """One job fits the letter bags of all folds, each from the documents outside its fold."""
+    docs = spark.createDataFrame([(f"d{i}", ["αβγαβγ" if i % 2 else "δεζδεζ"], 10, "xy"[i % 2], i % 10 // 2) for i in range(60)], "doc_id string, lines array<string>, letters int, gram_type string, fold int")
+    got = pipeline.experiment(docs, "form", "letterbag", cers=(0,), seeds=(1,), iterations=20)
+    assert len(rows(got, "unit")) == 60 and got.where("y <> pred").count() == 0
+    apart = docs.withColumn("y", F.col("gram_type")).withColumn("_model", F.col("fold"))
+    several = models.build("letterbag", "form", iterations=20).fit_each(apart, 5)
+    one = models.build("letterbag", "form", iterations=20).fit(apart.where("fold = 3").drop("_model"))
+    assert np.array_equal(several[3].head[0], one.head[0]) and several[3].labels == one.labels == ["x", "y"]
